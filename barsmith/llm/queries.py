@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barsmith.llm.common import table
+from barsmith.llm.common import table, work_dir
+
+
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.pii import personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +25,41 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from barsmith.llm.pieces import encoded
+
+    found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "lossless")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barsmith.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.warc import page_records, read_archives, write_archives
+
+    path = work_dir(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return page_records(read_archives(spark, path, with_payload=False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.html import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barsmith.llm.mixing import mix
 
@@ -30,6 +67,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_quality_rules, op10_source_mix)
+    f.__name__: f for f in (op1_personal_data, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op9_page_text, op10_source_mix)
 }
 ORACLE_SQL: dict[str, str] = {}
