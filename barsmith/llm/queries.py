@@ -17,6 +17,12 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.ngramjoin import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +60,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.spots import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barsmith.llm.html import page_texts
 
@@ -67,6 +79,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op9_page_text, op10_source_mix)
+    f.__name__: f for f in (op1_personal_data, op2_ngram_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op8_spot_signatures, op9_page_text, op10_source_mix)
 }
 ORACLE_SQL: dict[str, str] = {}
