@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,20 +47,32 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes, of one row at least."""
+    start, size, mean = 0, 0, max(1, batch.nbytes // max(1, batch.num_rows))
+    texts = [i for i, t in enumerate(batch.schema.types) if pa.types.is_string(t) or pa.types.is_binary(t)]
+    lengths = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_pylist() for i in texts), strict=True)] if texts else [mean] * batch.num_rows
+    for end, n in enumerate(lengths, 1):
+        size += n
+        if size >= most or end == batch.num_rows:
+            yield batch.slice(start, end - start)
+            start, size = end, 0
+
+
 def map_texts(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
     schema: str,
     setup: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """mapInArrow of a batch function; setup runs once in each task."""
+    """mapInArrow of a batch function; setup runs once in each task. Batches are cut so that memory goes by bytes, not rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup:
             setup()
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for part in by_bytes(batch):
+                yield function(part)
 
     return df.mapInArrow(run, schema)
 
