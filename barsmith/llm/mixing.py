@@ -71,8 +71,11 @@ def _overlap(start: Column, end: Column, low: Column, high: Column) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words: int = 250_000, max_shards: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of docs."""
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    """One row for each row of docs: doc_id, text_key, source, size, source_size, target, taken.
+
+    passes: how often the whole document is taken; words_1 words from word from_1 on, and words_2 from from_2, come on top.
+    """
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     every = Window.partitionBy()
     source = targets(sizes, total_share)
     # Blocks so small that rounding to a seat is about a 4000th of a mean target, 1 to 1024 words.
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words:
     quotas = written(quotas, "quotas")
     dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left").drop("_source", "_shard")
 
-    line = Window.partitionBy("source", "shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy("_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = dealt.withColumn("_end", F.sum("size").over(line)).withColumn("_start", F.col("_end") - F.col("size"))
     words = F.least(F.col("quota") * F.col("block"), 2 * F.col("shard_size"))
     passes = F.coalesce(F.expr("shard_size").cast("long"), F.lit(0))
@@ -100,6 +103,33 @@ def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words:
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest(F.lit(1), F.col("_blocks")))
     dealt = dealt.withColumn("_low", first * F.col("block")).withColumn("_high", (first + F.col("_run")) * F.col("block"))
     turn = F.col("_blocks") * F.col("block")  # the run goes on at the line's start
-    part = _overlap(F.col("_start"), F.col("_end"), F.col("_low"), F.col("_high")) + _overlap(F.col("_start"), F.col("_end"), F.lit(0), F.col("_high") - turn)
-    taken = F.col("_passes") * F.col("size") + F.when(F.col("_passes") < 2, part).otherwise(0)
-    return dealt.select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    one = _overlap(F.col("_start"), F.col("_end"), F.col("_low"), F.col("_high"))
+    two = _overlap(F.col("_start"), F.col("_end"), F.lit(0), F.col("_high") - turn)
+    partial = F.col("_passes") < 2
+    dealt = dealt.withColumns(
+        {
+            "passes": F.col("_passes"), "from_1": F.greatest(F.lit(0), F.col("_low") - F.col("_start")), "words_1": F.when(partial, one).otherwise(0).cast("long"),
+            "from_2": F.lit(0).cast("long"), "words_2": F.when(partial, two).otherwise(0).cast("long"),
+        }
+    )
+    taken = F.coalesce(F.col("passes") * F.col("size") + F.col("words_1") + F.col("words_2"), F.lit(0)).cast("long")
+    return dealt.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "from_1", "words_1", "from_2", "words_2")
+
+
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """docs as the mix takes them: a row for each whole pass over a document and one for each part of it that a block cuts.
+
+    A part holds its words with single blanks between; n_chars, where there, is counted anew. Rows that share doc_id and text
+    get one decision, that of the row of them which the mix takes most of.
+    """
+    plan = mix(docs, seed).filter("taken > 0")
+    w = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("taken"), F.desc("passes"), "from_1", "words_1", "words_2")
+    plan = plan.withColumn("_first", F.row_number().over(w)).filter("_first = 1")
+    whole = F.array_repeat(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("words")), F.col("passes").cast("int"))
+    parts = F.filter(F.array(*(F.struct(F.col(f"from_{i}").cast("long").alias("start"), F.col(f"words_{i}").alias("words")) for i in (1, 2))), lambda x: x["words"] > 0)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode(F.concat(whole, parts)).alias("_take"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    rows = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_take.start").cast("int") + 1, F.col("_take.words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_take.start") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
