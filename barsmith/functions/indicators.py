@@ -40,7 +40,7 @@ def before(column: str, n: int = 1) -> Column:
 def smoothed(b: Column, a: float) -> Column:
     """Running sum that solves e[t] = (1 - a) e[t-1] + b[t] in a block."""
     k = F.col("_place")
-    w = block_window().rowsBetween(-(2**31), 0)
+    w = block_window().rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(b * F.pow(F.lit(1 - a), -k)).over(w) * F.pow(F.lit(1 - a), k)
 
 
@@ -48,7 +48,7 @@ def placed(frame: DataFrame) -> DataFrame:
     """_place: rows since the start of the block's halo; _first: that row (its value stands for all history)."""
     if "_place" in frame.columns:
         return frame
-    start = F.min("idx").over(block_window().rowsBetween(-(2**31), 0))
+    start = F.min("idx").over(block_window().rowsBetween(Window.unboundedPreceding, 0))
     return frame.withColumn("_place", (F.col("idx") - start).cast("double"))
 
 
@@ -152,7 +152,7 @@ def obv(bars: DataFrame) -> DataFrame:
     last = before("close")
     signed = F.when(F.col("close") < last, -F.col("volume")).otherwise(F.col("volume"))
     frame = frame.withColumn("_signed", signed).filter(F.col("block") == F.floor(F.col("idx") / 1024))
-    frame = frame.withColumn("_local", F.sum("_signed").over(block_window().rowsBetween(-(2**31), 0)))
+    frame = frame.withColumn("_local", F.sum("_signed").over(block_window().rowsBetween(Window.unboundedPreceding, 0)))
     sums = frame.groupBy(*KEYS, "block").agg(F.sum("_signed").alias("_sum"))
     carried = sums.withColumn("_carry", F.sum("_sum").over(Window.partitionBy(*KEYS).orderBy("block")) - F.col("_sum")).drop("_sum")
     return frame.join(carried, [*KEYS, "block"]).withColumn("OBV", F.col("_carry") + F.col("_local")).drop("_signed", "_local", "_carry", "block")
@@ -188,10 +188,10 @@ def support_resistance(bars: DataFrame, confirm: int = 0) -> DataFrame:
         frame = blocked(bars, behind=confirm)
         frame = unblocked(frame.withColumns({p: before(p, confirm) for p in ("low_pivot", "high_pivot")}))
     frame = frame.withColumn("block", F.floor(F.col("idx") / 1024))
-    w = block_window().rowsBetween(-(2**31), 0)
+    w = block_window().rowsBetween(Window.unboundedPreceding, 0)
     frame = frame.withColumns({"_s": F.last("low_pivot", True).over(w), "_r": F.last("high_pivot", True).over(w)})
     ends = frame.groupBy(*KEYS, "block").agg(F.max_by("_s", "idx").alias("_es"), F.max_by("_r", "idx").alias("_er"))
-    w2 = Window.partitionBy(*KEYS).orderBy("block").rowsBetween(-(2**31), -1)
+    w2 = Window.partitionBy(*KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*KEYS, "block", F.last("_es", True).over(w2).alias("_cs"), F.last("_er", True).over(w2).alias("_cr"))
     joined = frame.join(ends, [*KEYS, "block"])
     return joined.withColumns({"support": F.coalesce("_s", "_cs"), "resistance": F.coalesce("_r", "_cr")}).drop("_s", "_r", "_cs", "_cr", "block")
