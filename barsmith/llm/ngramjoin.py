@@ -148,7 +148,8 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     placed = placed.select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    texts = doc_texts(docs).join(placed, F.col("doc_id") == F.col("id"))
+    # Always by shuffle: members grow with the input, so what a small table does must hold for a large one.
+    texts = doc_texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("id"))
 
     def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t).tobytes() for t in texts_of(batch.column("text"))]
