@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW = "time string, open string, high string, low string, close string, volume string"
 REPORT_OPTIONS = {"header": True, "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
 
 
@@ -15,21 +16,21 @@ def read_bars(spark: SparkSession, path: str, sep: str = ",", mode: str = "drop"
     Five or six columns; files with fewer raise. A missing volume is 1. Rows with a value that does not parse are dropped, or
     raise with mode='fail'.
     """
-    raw = spark.read.schema(RAW).option("sep", sep).option("header", False).csv(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
     pattern = r"(?i)^([A-Z0-9_]*?[A-Z_])(\d+)\.csv$"
-    instrument = F.upper(F.regexp_replace(F.regexp_extract(name, pattern, 1), "_", ""))
-    minutes = F.regexp_extract(name, pattern, 2)
-    short = F.raise_error(F.concat(F.lit("fewer than five columns in "), name)).cast("string")
-    close = F.when(F.col("close").isNull() & F.col("low").isNull(), short).otherwise(F.col("close"))
-    time = F.col("time").cast("timestamp") if mode == "fail" else F.expr("try_cast(time as timestamp)")
+    parts = F.split("value", re.escape(sep))
+    short = F.raise_error(F.concat(F.lit("fewer than five columns in "), F.col("name"))).cast("array<string>")
+    raw = spark.read.text(path).select("value", name.alias("name")).filter(F.trim("value") != "")
+    raw = raw.select("name", F.when(F.size(parts) < 5, short).otherwise(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit('"'))))).alias("parts"))
+    fields = {c: F.get("parts", F.lit(i)) for i, c in enumerate(("time", "open", "high", "low", "close", "volume"))}
+    raw = raw.select("name", *(x.alias(c) for c, x in fields.items()))
 
-    def number(c: str):
-        return F.col(c).cast("double") if mode == "fail" else F.expr(f"try_cast({c} as double)")
+    def parsed(c: str, kind: str):
+        return F.col(c).cast(kind) if mode == "fail" else F.expr(f"try_cast({c} as {kind})")
 
-    raw = raw.withColumn("close", close)
     bars = raw.select(
-        instrument.alias("instrument"), minutes.cast("int").alias("timeframe"), time.alias("time"), *(number(c).alias(c) for c in ("open", "high", "low", "close")),
+        F.upper(F.regexp_replace(F.regexp_extract("name", pattern, 1), "_", "")).alias("instrument"), F.regexp_extract("name", pattern, 2).cast("int").alias("timeframe"),
+        parsed("time", "timestamp").alias("time"), *(parsed(c, "double").alias(c) for c in ("open", "high", "low", "close")),
         F.coalesce(F.expr("try_cast(volume as double)"), F.lit(1.0)).alias("volume"),
     )
     return bars if mode == "fail" else bars.dropna(subset=["time", "open", "high", "low", "close"])
