@@ -10,8 +10,8 @@ dictionaries have not seen.
 
 Labels are used only from rows that `held_out` is false for; language, source and doc_id are no inputs of a score.
 
-Cases. Null text: empty, no windows, the lowest score. Null labels are not used. With no labels of one class every score is
-the share of toxic rows. Repeated rows give repeated results; an empty table gives an empty result.
+Cases. Null text: empty, no windows, the lowest score. Null labels are not used. Without labels every score is 0.5; with
+labels of one class only it nears the share of toxic rows. Repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def fit(rows: list[tuple[str, int]], least: float = 5.0, base_bytes: int = 3000)
     plain = (plain * (1 + len(toxic) // len(plain)))[: len(toxic)]  # equal sizes, so that the base lies equally far
     model = Model(toxic + base, plain + base, np.zeros(2 * GAINS + 1), np.zeros(2))
     compressors = model.compressors()
-    counts = np.array([gains(text, compressors) for text, _ in calibrate], int).reshape(len(calibrate), -1)
+    counts = np.array([gains(text, compressors) for text, _ in calibrate], int).reshape(len(calibrate), 2 * GAINS + 1)
     y = np.array([label for _, label in calibrate], float)
     shares = [counts[y == k].sum(axis=0) + 0.5 if (y == k).any() else np.ones(2 * GAINS + 1) for k in (1, 0)]
     model.ratios = np.log(shares[0] / shares[0].sum()) - np.log(shares[1] / shares[1].sum())
