@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.operators.bars import KEYS, block_window, blocked, unblocked
+from barsmith.operators.bars import BLOCK, KEYS, block_window, blocked, in_block, unblocked
 
 HALO = 1152  # bars: two smoothings of 1/14 forget their start in it
 AHEAD = 10
@@ -45,7 +45,7 @@ def smoothed(b: Column, a: float) -> Column:
 
 
 def placed(frame: DataFrame) -> DataFrame:
-    """_place: rows since the start of the block's halo; _first: that row (its value stands for all history)."""
+    """_place: rows since the start of the block's halo; the value of row 0 stands for all before it."""
     if "_place" in frame.columns:
         return frame
     start = F.min("idx").over(block_window().rowsBetween(Window.unboundedPreceding, 0))
@@ -151,7 +151,7 @@ def obv(bars: DataFrame) -> DataFrame:
     frame = blocked(bars, behind=1)
     last = before("close")
     signed = F.when(F.col("close") < last, -F.col("volume")).otherwise(F.col("volume"))
-    frame = frame.withColumn("_signed", signed).filter(F.col("block") == F.floor(F.col("idx") / 1024))
+    frame = frame.withColumn("_signed", signed).filter(in_block())
     frame = frame.withColumn("_local", F.sum("_signed").over(block_window().rowsBetween(Window.unboundedPreceding, 0)))
     sums = frame.groupBy(*KEYS, "block").agg(F.sum("_signed").alias("_sum"))
     carried = sums.withColumn("_carry", F.sum("_sum").over(Window.partitionBy(*KEYS).orderBy("block")) - F.col("_sum")).drop("_sum")
@@ -171,7 +171,7 @@ def regimes(frame: DataFrame, n: int = 14, adx_least: float = 25.0, mean: int =
 
 
 def pivots(frame: DataFrame, reach: int = AHEAD) -> DataFrame:
-    """_low_pivot and _high_pivot: extremes of the 2 * reach + 1 bars around, in full frames only; equal extremes all count."""
+    """low_pivot and high_pivot: extremes of the 2 * reach + 1 bars around, in full frames only; equal extremes all count."""
     w = block_window().rowsBetween(-reach, reach)
     full = (F.col("idx") >= reach) & (F.col("idx") < F.col("n_bars") - reach)
     low, high = (F.col(c).cast("float") for c in ("low", "high"))
@@ -187,7 +187,7 @@ def support_resistance(bars: DataFrame, confirm: int = 0) -> DataFrame:
     if confirm:
         frame = blocked(bars, behind=confirm)
         frame = unblocked(frame.withColumns({p: before(p, confirm) for p in ("low_pivot", "high_pivot")}))
-    frame = frame.withColumn("block", F.floor(F.col("idx") / 1024))
+    frame = frame.withColumn("block", F.floor(F.col("idx") / BLOCK))
     w = block_window().rowsBetween(Window.unboundedPreceding, 0)
     frame = frame.withColumns({"_s": F.last("low_pivot", True).over(w), "_r": F.last("high_pivot", True).over(w)})
     ends = frame.groupBy(*KEYS, "block").agg(F.max_by("_s", "idx").alias("_es"), F.max_by("_r", "idx").alias("_er"))

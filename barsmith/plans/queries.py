@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from barsmith.functions import indicators as ind
 from barsmith.functions.patterns import NAMES, patterns
 from barsmith.functions.positioning import enriched, price_relative
-from barsmith.functions.preprocess import one_hot, pattern_scores, scaled
+from barsmith.functions.preprocess import one_hot, pattern_scores, scaled, scaler
 from barsmith.operators import bars as b
 from barsmith.operators import barriers as br
 from barsmith.operators import blueprints as bp
 from barsmith.operators import evaluate as ev
 from barsmith.operators import reports, rules
-from barsmith.sources.state import append_distinct, upsert_last
+from barsmith.sources.state import append_distinct, upsert_last, written
 
 MINUTES, LOOK, SL, TP = 60, 50, [1000, 3000], [1000, 3000, 6000]
 LEVELS = ["SMA_20", "EMA_13", "BB_upper_20", "support"]
@@ -56,11 +56,11 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features that positioning, rules and reports use."""
+    """The features that positioning, rules and reports use, written once as each of them reads them several times."""
     f = ind.framed(indexed(spark, sf_dir))
     for step in (lambda x: ind.sma(x, (20,)), lambda x: ind.ema(x, (13,)), ind.bollinger, ind.rsi, ind.atr, ind.adx, ind.regimes, ind.pivots):
         f = step(f)
-    return ind.calendar(ind.support_resistance(ind.done(f)))
+    return written(ind.calendar(ind.support_resistance(ind.done(f))), "features")
 
 
 def r6(*names: str) -> str:
@@ -364,6 +364,14 @@ def scaled_features(spark, sf_dir):
     return rounded(scaled(features(spark, sf_dir).select(*b.KEYS, "idx", *SCALED), SCALED, b.KEYS))
 
 
+@query(sql("SELECT f.instrument, f.timeframe, f.idx, " + ", ".join(f'round((coalesce(f."{c}", 0) - m."{c}_m") / CASE WHEN m."{c}_s" = 0 THEN 1 ELSE m."{c}_s" END, 6) + 0.0 AS "{c}"' for c in SCALED)
+           + " FROM feat f CROSS JOIN m", "feat",
+           m="SELECT " + ", ".join(f'avg(coalesce("{c}", 0)) AS "{c}_m", stddev_pop(coalesce("{c}", 0)) AS "{c}_s"' for c in SCALED) + " FROM feat WHERE instrument = 'view'"))
+def scaled_on_one_market(spark, sf_dir):
+    f = features(spark, sf_dir).select(*b.KEYS, "idx", *SCALED)
+    return rounded(scaled(f, SCALED, b.KEYS, scaler(f.filter("instrument = 'view'"), SCALED, b.KEYS)))
+
+
 # --- blueprints ------------------------------------------------------------------------------------------------------------
 BINS = " UNION ALL ".join(
     f"""SELECT instrument, timeframe, entry_time, '{s.upper()}-{kind}' AS type, '{c}' AS level, bin, {o} AS ratio FROM
@@ -397,6 +405,18 @@ def combinations(spark, sf_dir):
     return bp.combinations(counts_of(spark, sf_dir))
 
 
+COMBOS = f"SELECT {KEY} AS key, instrument, type, level, bin, count(DISTINCT entry_time) AS num_candles FROM bb GROUP BY instrument, timeframe, type, level, bin, ratio"
+
+
+@query(sql("SELECT key, num_candles FROM cb WHERE num_candles >= 20 AND NOT (type = 'SL-Pct' AND bin = 0) AND NOT (type = 'TP-Pct' AND level = 'support')", "won", "feat", en=ENRICHED, eb=EB, bb=BINS, cb=COMBOS))
+def learning_selection(spark, sf_dir):
+    """Blueprints with enough bars, without those processed or exhausted."""
+    combos = written(bp.combinations(counts_of(spark, sf_dir)), "combos")
+    done = combos.filter("type = 'SL-Pct' AND sl_bin = 0").select("key")
+    spent = combos.filter("type = 'TP-Pct' AND tp_level = 'support'").select("key")
+    return rules.to_learn(combos, done, spent, 20).select("key", "num_candles")
+
+
 # --- rules -----------------------------------------------------------------------------------------------------------------
 RULE_FEATURES = ["RSI_14", "hour", "weekday", "ADX_14"]
 # (key, rule, trade_type, type, sl_level, sl_ratio, sl_bin, tp_level, tp_ratio, tp_bin, avg_density, as SQL)
@@ -461,7 +481,7 @@ def rule_tree(spark, sf_dir):
     won = br.barrier_outcomes(indexed(spark, sf_dir), SL, TP, LOOK)
     t = won.groupBy(F.concat_ws("-", "instrument", "trade_type").alias("key"), *b.KEYS, "entry_time").agg(F.count(F.lit(1)).alias("trade_count"))
     rows = rules.training(t, features(spark, sf_dir).select(*b.KEYS, "time", *RULE_FEATURES))
-    return rules.mined(rows, RULE_FEATURES, lift=1.1)
+    return rules.mined(rows, RULE_FEATURES, lift=1.0)
 
 
 # --- trades ----------------------------------------------------------------------------------------------------------------
@@ -536,7 +556,7 @@ def trade_log(spark, sf_dir):
 
 
 def report_of(spark, sf_dir):
-    return ev.performance(equity_of(spark, sf_dir))
+    return written(ev.performance(equity_of(spark, sf_dir)), "report")
 
 
 PERF_COLS = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in METRICS)
@@ -614,6 +634,22 @@ def survivors(spark, sf_dir):
     return rounded(reports.survivors(view_of(spark, sf_dir), 0.8, -5.0, 1, 100), 4)
 
 
+BY_MARKET = "strategy_id, instrument, timeframe, round(least(profit_factor, 100), 4) + 0.0 AS profit_factor, round(least(sharpe_ratio, 10), 4) + 0.0 AS sharpe_ratio, total_trades"
+
+
+@query(sql(f"SELECT {BY_MARKET}, 'mastery' AS phase FROM pf WHERE instrument = 'view' UNION ALL SELECT {BY_MARKET}, 'validation' AS phase FROM pf", "feat", **TRADES, **PERF))
+def results_by_market(spark, sf_dir):
+    report = report_of(spark, sf_dir)
+    rows = reports.by_market(report.filter("instrument = 'view'"), report)
+    return rounded(rows.select("strategy_id", *b.KEYS, "profit_factor", "sharpe_ratio", "total_trades", "phase"), 4)
+
+
+@query(sql("SELECT DISTINCT instrument AS origin, strategy_id FROM pf WHERE strategy_id IN (SELECT strategy_id FROM gd)", "feat", **TRADES, **PERF, gd=GOOD))
+def passes_of_all_origins(spark, sf_dir):
+    report = report_of(spark, sf_dir).withColumn("origin", F.col("instrument"))
+    return reports.all_passes(report, ev.passed(report, 1.0, 80.0, 20)).select("origin", "strategy_id")
+
+
 INTERNALS = """SELECT instrument, timeframe, avg((trend_regime_14 = 'trend')::INT) * 100 AS time_in_trend_pct, avg((vol_regime_14 = 'high_vol')::INT) * 100 AS time_high_vol_pct, avg("BB_width_20") AS avg_bb_width,
  (arg_max(close, time) - arg_min(close, time)) / nullif(arg_min(close, time), 0) * 100 AS price_change_pct FROM feat GROUP BY ALL"""
 INTERNAL_COLS = "m.instrument, m.timeframe, round(time_in_trend_pct, 4) + 0.0 AS time_in_trend_pct, round(time_high_vol_pct, 4) + 0.0 AS time_high_vol_pct, round(avg_bb_width, 4) + 0.0 AS avg_bb_width, round(price_change_pct, 4) + 0.0 AS price_change_pct"
