@@ -81,4 +81,25 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_personal_data, op2_ngram_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op8_spot_signatures, op9_page_text, op10_source_mix)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # All pairs by shared run of words: for small tables.
+    "op2_ngram_join": r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id, count(*) AS n_copies FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS root FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.root),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1),
+k AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+FROM documents d LEFT JOIN t ON d.doc_id IS NOT NULL AND t.text = coalesce(d.text, '') LEFT JOIN c ON c.id = t.id LEFT JOIN k ON k.id = t.id""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN greatest(1, ceil(n / 1048576))::BIGINT ELSE 1 END AS chunks, true AS intact
+FROM d LEFT JOIN f ON f.h = d.h""",
+}
