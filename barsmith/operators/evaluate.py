@@ -64,20 +64,35 @@ def trades(placed: DataFrame, bars: DataFrame, look_ahead: int = 5000) -> DataFr
     return t.withColumnRenamed("time", "entry_time").join(times, [*KEYS, "exit_idx"])
 
 
+def _earlier(t: DataFrame, values: dict, block: int = 4096) -> DataFrame:
+    """Aggregates of the earlier trades of a strategy and market, for each trade: {name: (function, column)}, sum or max.
+
+    Counted within blocks of bars and carried over from the few block totals, so no task holds all trades of a market.
+    """
+    group = ["strategy_id", *KEYS]
+    t = t.withColumn("_block", F.floor(F.col("idx") / block))
+    w = Window.partitionBy(*group, "_block").orderBy("idx", "order_id").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumns({f"_own_{n}": how(x).over(w) for n, (how, x) in values.items()})
+    totals = t.groupBy(*group, "_block").agg(*(how(x).alias(f"_all_{n}") for n, (how, x) in values.items()))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*group, "_block", *(how(f"_all_{n}").over(before).alias(f"_from_{n}") for n, (how, _) in values.items()))
+    t = t.join(carried, [*group, "_block"])
+    both = {n: F.greatest(f"_own_{n}", f"_from_{n}") if how is F.max else F.coalesce(f"_own_{n}", F.lit(0)) + F.coalesce(f"_from_{n}", F.lit(0)) for n, (how, _) in values.items()}
+    return t.withColumns(both).drop("_block", *(f"_{x}_{n}" for n in values for x in ("own", "from")))
+
+
 def equity(found: DataFrame, start: float = 10_000.0, risk: float = 0.02) -> DataFrame:
     """Trades with capital and pnl: each risks a share of the capital before it, in entry order.
 
     Capital is start times the product of 1 + risk * r, a running sum of logarithms. The first trade that brings it to zero
     or below stays, later ones go.
     """
-    w = Window.partitionBy("strategy_id", *KEYS).orderBy("idx", "order_id")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     t = found.withColumn("_x", 1 + risk * F.col("r"))
-    t = t.withColumn("_ruined", F.coalesce(F.max((F.col("_x") <= 0).cast("int")).over(earlier), F.lit(0))).filter("_ruined = 0")
-    logs = F.when(F.col("_x") > 0, F.log("_x"))
-    t = t.withColumn("_before", F.exp(F.coalesce(F.sum(logs).over(earlier), F.lit(0.0))) * start)
+    logs = F.when(F.col("_x") > 0, F.log("_x")).otherwise(0.0)
+    t = _earlier(t, {"_ruined": (F.max, (F.col("_x") <= 0).cast("int")), "_logs": (F.sum, logs), "_count": (F.sum, F.lit(1))})
+    t = t.filter(F.coalesce("_ruined", F.lit(0)) == 0).withColumn("_before", F.exp("_logs") * start)
     t = t.withColumn("capital", F.col("_before") * F.col("_x")).withColumn("pnl", F.col("capital") - F.col("_before"))
-    return t.withColumn("seq", F.row_number().over(w)).drop("_x", "_ruined", "_before")
+    return t.withColumn("seq", (F.col("_count") + 1).cast("long")).drop("_x", "_ruined", "_logs", "_count", "_before")
 
 
 def trade_log(done: DataFrame) -> DataFrame:
@@ -87,8 +102,7 @@ def trade_log(done: DataFrame) -> DataFrame:
 def performance(done: DataFrame, start: float = 10_000.0, risk_free: float = 0.04, per_year: int = 252, undefined_sharpe: float = 0.0) -> DataFrame:
     """Metrics for each strategy and market. Profit factor is infinite without losses."""
     group = ["strategy_id", *KEYS]
-    w = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    t = done.withColumn("_peak", F.max("capital").over(w))
+    t = _earlier(done, {"_peak": (F.max, F.col("capital"))}).withColumn("_peak", F.greatest("_peak", "capital"))
     gains, losses = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("pnl") <= 0, F.col("pnl")).otherwise(0.0)))
     excess = F.col("pnl") / start - risk_free / per_year
     top = F.max("_peak")
@@ -105,9 +119,9 @@ def performance(done: DataFrame, start: float = 10_000.0, risk_free: float = 0.0
 def more_metrics(done: DataFrame) -> DataFrame:
     """Mean duration in bars, longest runs of wins and losses, SQN (mean r / deviation of r * sqrt(n)), Calmar (return % / drawdown %)."""
     group = ["strategy_id", *KEYS]
-    w = Window.partitionBy(*group).orderBy("seq")
-    t = done.withColumn("_run", F.col("seq") - F.row_number().over(Window.partitionBy(*group, "won").orderBy("seq")))
-    t = t.withColumns({"_length": F.count(F.lit(1)).over(Window.partitionBy(*group, "won", "_run")), "_peak": F.max("capital").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    t = _earlier(done, {"_peak": (F.max, F.col("capital"))}).withColumn("_peak", F.greatest("_peak", "capital"))
+    t = t.withColumn("_run", F.col("seq") - F.row_number().over(Window.partitionBy(*group, "won").orderBy("seq")))
+    t = t.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy(*group, "won", "_run")))
     out = t.groupBy(*group).agg(
         F.avg(F.col("exit_idx") - F.col("idx")).alias("avg_bars"), F.coalesce(F.max(F.when(F.col("won"), F.col("_length"))), F.lit(0)).alias("max_wins"),
         F.coalesce(F.max(F.when(~F.col("won"), F.col("_length"))), F.lit(0)).alias("max_losses"), (F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count(F.lit(1)))).alias("sqn"),
