@@ -127,18 +127,22 @@ def references(measured: DataFrame, min_reference: int) -> DataFrame:
     return own.select("lang", F.col("char_hist").alias("char_ref"), F.col("word_hist").alias("word_ref"))
 
 
+def shares(name: str) -> Column:
+    """A histogram as shares of its sum, which stands in <name>_sum: as a column it is added up once, not for each bin."""
+    return F.transform(F.col(name), lambda v: F.try_divide(v.cast("double"), F.col(f"{name}_sum").cast("double")))
+
+
+def with_sums(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({f"{n}_sum": F.aggregate(n, F.lit(0.0), lambda s, v: s + v) for n in names})
+
+
 def distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance of two histograms, base 2."""
-    def total(x: str) -> Column:
-        return F.aggregate(F.col(x), F.lit(0.0), lambda s, v: s + v)
 
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
-    terms = F.zip_with(
-        F.transform(F.col(p), lambda v: F.try_divide(v.cast("double"), total(p))), F.transform(F.col(q), lambda v: F.try_divide(v.cast("double"), total(q))),
-        lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2),
-    )
+    terms = F.zip_with(shares(p), shares(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
@@ -156,8 +160,8 @@ def quality(
     refs = references(measured, min_reference).withColumnRenamed("lang", "ref_lang")
     joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").join(F.broadcast(every), F.lit(True))
     joined = joined.withColumns({"char_ref": F.coalesce("char_ref", "all_chars"), "word_ref": F.coalesce("word_ref", "all_words")})
+    joined = with_sums(joined, "char_hist", "word_hist", "char_ref", "word_ref")
     joined = joined.withColumns({"char_distance": distance("char_hist", "char_ref"), "word_distance": distance("word_hist", "word_ref")})
-    chars = F.aggregate("char_hist", F.lit(0).cast("long"), lambda s, v: s + v)
-    odd = ((chars >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= F.lit(min_words)) & (F.col("word_distance") > F.lit(word_limit) + F.lit(word_slack) / F.sqrt("n_words")))
+    odd = ((F.col("char_hist_sum") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= F.lit(min_words)) & (F.col("word_distance") > F.lit(word_limit) + F.lit(word_slack) / F.sqrt("n_words")))
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
