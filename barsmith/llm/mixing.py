@@ -119,17 +119,22 @@ def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words:
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs as the mix takes them: a row for each whole pass over a document and one for each part of it that a block cuts.
 
-    A part holds its words with single blanks between; n_chars, where there, is counted anew. Rows that share doc_id and text
-    get one decision, that of the row of them which the mix takes most of.
+    A part is the text from the start of its first word to the end of its last, white space inside and all; blocks that hold a
+    whole document give the document as it is. n_chars, where there, is counted anew. Rows that share doc_id and text get one
+    decision, that of the row of them which the mix takes most of.
     """
     plan = mix(docs, seed).filter("taken > 0")
     w = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("taken"), F.desc("passes"), "from_1", "words_1", "words_2")
     plan = plan.withColumn("_first", F.row_number().over(w)).filter("_first = 1")
-    whole = F.array_repeat(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("words")), F.col("passes").cast("int"))
-    parts = F.filter(F.array(*(F.struct(F.col(f"from_{i}").cast("long").alias("start"), F.col(f"words_{i}").alias("words")) for i in (1, 2))), lambda x: x["words"] > 0)
+    # The run may end before the word that it starts with: both parts together are the document then.
+    full = (F.col("words_1") == F.col("size")) | (F.col("words_2") == F.col("size")) | ((F.col("words_2") == F.col("from_1")) & (F.col("words_1") + F.col("words_2") == F.col("size")))
+    whole = F.array_repeat(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("words")), (F.col("passes") + full.cast("long")).cast("int"))
+    parts = F.filter(F.array(*(F.struct(F.col(f"from_{i}").cast("long").alias("start"), F.col(f"words_{i}").alias("words")) for i in (1, 2))), lambda x: (x["words"] > 0) & ~full)
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode(F.concat(whole, parts)).alias("_take"))
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     rows = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_take.start").cast("int") + 1, F.col("_take.words").cast("int")), " ")
+    spaced = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))  # words with the white space before them
+    cut = F.array_join(F.slice(spaced, F.col("_take.start").cast("int") + 1, F.col("_take.words").cast("int")), "")
+    cut = F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")
     rows = rows.withColumn("text", F.when(F.col("_take.start") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows

@@ -129,3 +129,20 @@ def test_mixture(docs_of, odd_rows):
         words[r.source] += len(WORD.findall(r.text))
     assert all(abs(words[s] - target[s]) <= max(0.03 * target[s], 64) + 30_000 * (s == "a") for s in sizes)
     assert mixing.mix(docs_of(rows[:0])).count() == 0
+
+
+def test_mixture_keeps_white_space(docs_of):
+    """Whole documents of the run of blocks come out as they are, parts as substrings of them."""
+    rows = [(i, f"  a{i}\tb{i}\n\n" + "\n".join(f"c  d{i}\x0be{j}" for j in range(20 + i % 7)) + " \n", "en", "abc"[i % 3]) for i in range(60)]
+    rows += [(100 + i, " one\n two", "en", "d") for i in range(3)]
+    text, whole = {i: t for i, t, *_ in rows}, Counter()
+    plan = {r.doc_id: r for r in mixing.mix(docs_of(rows)).collect()}
+    got = mixing.mixed(docs_of(rows)).collect()
+    words = Counter()
+    for r in got:
+        assert r.text in text[r.doc_id] and r.n_chars == len(r.text)
+        whole[r.doc_id] += r.text == text[r.doc_id]
+        words[r.doc_id] += len(WORD.findall(r.text))
+    assert {d: r.taken for d, r in plan.items() if r.taken} == dict(words)
+    assert all(whole[d] == r.taken // r["size"] for d, r in plan.items())
+    assert any(r.passes == 0 and r.taken == r["size"] for r in plan.values()) and any(r.taken % r["size"] for r in plan.values())
