@@ -5,9 +5,12 @@ languages (all others in one bin). The reference of a language is the sum of the
 pass the base rules; a document fails when its Jensen-Shannon distance (base 2, 0 to 1) to the reference of its language
 is over the limit, provided that it is long enough for the histogram to mean something.
 
-Cases. Null text: no words, so base_failed. Null language: a language of its own. A language whose reference holds fewer
-than `min_reference` words is judged by the reference of all languages together; without any reference a document is
-kept. Repeated rows give repeated results; an empty table gives an empty result.
+A thin reference, of fewer than `min_reference` words, is no evidence against a document, and rows without a language may be
+of any: such a document is compared with its own reference and with that of each language which has enough words, and each of its
+two distances is the least of these, so it fails only if it is far from all.
+
+Cases. Null text: no words, so base_failed. Null language: rows of any languages, with a reference of their own that is taken
+as thin. Without any reference a document is kept. Repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +88,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, and the two histograms as arrays."""
+    """doc_id, lang, the base counts, base_failed, and the two histograms as arrays, with their sums."""
     place = {w.encode(): i for i, w in enumerate(WORDS)}
     tables: list[np.ndarray] = []
 
@@ -105,12 +108,15 @@ def measures(docs: DataFrame) -> DataFrame:
             common.append(hist)
         cols = np.array(counts, np.int64).reshape(-1, 5).T
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), *(pa.array(c) for c in cols), pa.array(chars, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))],
-            ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"],
+            [
+                batch.column("doc_id"), batch.column("lang"), *(pa.array(c) for c in cols), pa.array(chars, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())),
+                pa.array([int(c.sum()) for c in chars], pa.int64()), pa.array([sum(h) for h in common], pa.int64()),
+            ],
+            ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "char_hist_sum", "word_hist_sum"],
         )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = map_texts(narrow, of_batch, f"doc_id long, lang string, {BASE}, char_hist array<long>, word_hist array<long>", lambda: tables.append(_class_table()))
+    found = map_texts(narrow, of_batch, f"doc_id long, lang string, {BASE}, char_hist array<long>, word_hist array<long>, char_hist_sum long, word_hist_sum long", lambda: tables.append(_class_table()))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
@@ -120,11 +126,11 @@ def _sums(name: str, size: int) -> Column:
 
 
 def references(measured: DataFrame, min_reference: int) -> DataFrame:
-    """A row for each language that has enough words: lang, char_ref, word_ref."""
+    """A row for each language: ref_lang, thick (whether it may judge alone), ref (both histograms as shares of their sums)."""
     sums = [_sums("char_hist", len(CLASSES)), _sums("word_hist", len(WORDS) + 1), F.sum("n_words").alias("words")]
-    fit = measured.filter(~F.col("base_failed"))
-    own = fit.groupBy("lang").agg(*sums).filter(F.col("words") >= min_reference)
-    return own.select("lang", F.col("char_hist").alias("char_ref"), F.col("word_hist").alias("word_ref"))
+    own = with_sums(measured.filter(~F.col("base_failed")).groupBy("lang").agg(*sums), "char_hist", "word_hist")
+    thick = (F.col("words") >= min_reference) & F.col("lang").isNotNull()
+    return own.select(F.col("lang").alias("ref_lang"), thick.alias("thick"), F.struct(shares("char_hist").alias("chars"), shares("word_hist").alias("words")).alias("ref"))
 
 
 def shares(name: str) -> Column:
@@ -136,13 +142,13 @@ def with_sums(frame: DataFrame, *names: str) -> DataFrame:
     return frame.withColumns({f"{n}_sum": F.aggregate(n, F.lit(0.0), lambda s, v: s + v) for n in names})
 
 
-def distance(p: str, q: str) -> Column:
-    """Jensen-Shannon distance of two histograms, base 2."""
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms given as shares, base 2."""
 
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
-    terms = F.zip_with(shares(p), shares(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
@@ -154,14 +160,14 @@ def quality(
     Few words spread a histogram by chance, so the limit of word_distance is word_limit + word_slack / sqrt(n_words).
     """
     measured = written(measures(docs), "quality")
-    every = measured.filter(~F.col("base_failed")).agg(_sums("char_hist", len(CLASSES)), _sums("word_hist", len(WORDS) + 1))
-    every = every.select(F.col("char_hist").alias("all_chars"), F.col("word_hist").alias("all_words"))
     # References have a row for each language. Spark broadcasts them when its size check allows, else joins by shuffle.
-    refs = references(measured, min_reference).withColumnRenamed("lang", "ref_lang")
-    joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").join(F.broadcast(every), F.lit(True))
-    joined = joined.withColumns({"char_ref": F.coalesce("char_ref", "all_chars"), "word_ref": F.coalesce("word_ref", "all_words")})
-    joined = with_sums(joined, "char_hist", "word_hist", "char_ref", "word_ref")
-    joined = joined.withColumns({"char_distance": distance("char_hist", "char_ref"), "word_distance": distance("word_hist", "word_ref")})
+    refs = written(references(measured, min_reference), "references")
+    every = refs.filter("thick").agg(F.collect_list("ref").alias("others"))
+    joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    joined = joined.join(F.broadcast(every), ~F.coalesce("thick", F.lit(False)), "left")
+    tried = F.concat(F.filter(F.array("ref"), lambda r: r.isNotNull()), F.coalesce("others", F.filter(F.array("ref"), lambda r: F.lit(False))))
+    both = F.transform(tried, lambda r: F.struct(distance(shares("char_hist"), r["chars"]).alias("c"), distance(shares("word_hist"), r["words"]).alias("w")))
+    joined = joined.withColumn("both", both).withColumns({"char_distance": F.array_min("both.c"), "word_distance": F.array_min("both.w")})
     odd = ((F.col("char_hist_sum") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= F.lit(min_words)) & (F.col("word_distance") > F.lit(word_limit) + F.lit(word_slack) / F.sqrt("n_words")))
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))

@@ -146,3 +146,19 @@ def test_mixture_keeps_white_space(docs_of):
     assert {d: r.taken for d, r in plan.items() if r.taken} == dict(words)
     assert all(whole[d] == r.taken // r["size"] for d, r in plan.items())
     assert any(r.passes == 0 and r.taken == r["size"] for r in plan.values()) and any(r.taken % r["size"] for r in plan.values())
+
+
+def test_rare_and_null_languages_beside_a_large_one(docs_of):
+    """Documents of a language with a thin reference, or of none, are kept unless they are far from every reference."""
+    import random
+
+    rng = random.Random(8)
+
+    def prose(lang):
+        return " ".join(rng.choice(quality.COMMON_WORDS[lang].split()) if rng.random() < 0.5 else "".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(200)) + "."
+
+    junk = [" ".join("".join(rng.choices("#$%&*|", k=6)) for _ in range(200)) for _ in range(2)]
+    rows = [(i, prose("en"), "en", "a") for i in range(90)] + [(100 + i, prose("de"), "de", "a") for i in range(10)] + [(200, prose("fr"), "fr", "a")]
+    rows += [(300 + i, prose("en"), None, "a") for i in range(6)] + [(310 + i, prose("de"), None, "a") for i in range(2)] + [(400, junk[0], "de", "a"), (401, junk[1], "en", "a")]
+    got = {r.doc_id: r.kept for r in quality.quality(docs_of(rows)).collect()}
+    assert [d for d, *_ in rows if not got[d]] == [400, 401]
