@@ -78,8 +78,10 @@ def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words:
     sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     every = Window.partitionBy()
     source = targets(sizes, total_share)
-    # Blocks so small that rounding to a seat is about a 4000th of a mean target, 1 to 1024 words.
-    block = F.least(F.lit(1024), F.greatest(F.lit(1), F.floor(F.sum("target").over(every) / (F.count(F.lit(1)).over(every) * 2000)))).cast("long")
+    # Blocks so small that rounding to a seat is about a 4000th of a mean target and a 400th of the smallest, 1 to 1024 words.
+    # The work does not grow with the number of seats, as only those in doubt are ranked.
+    mean, least = F.sum("target").over(every) / F.count(F.lit(1)).over(every), F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    block = F.coalesce(F.least(F.lit(1024), F.greatest(F.lit(1), F.floor(F.least(mean / 2000, least / 200)))), F.lit(1)).cast("long")
     source = source.withColumn("block", block).withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
     source = source.withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     source = apportion(source.withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "seats").drop("_all", "seats").withColumnRenamed("quota", "seats")

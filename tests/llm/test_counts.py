@@ -148,6 +148,17 @@ def test_mixture_keeps_white_space(docs_of):
     assert any(r.passes == 0 and r.taken == r["size"] for r in plan.values()) and any(r.taken % r["size"] for r in plan.values())
 
 
+def test_small_source_beside_a_hot_one(spark):
+    """Blocks suit the smallest source, however large the mean target is."""
+    sizes = {"b": (300, 20_000), "a": (10, 10), "c": (7, 100), "d": (1, 1)}
+    rows = [(s, n) for s, (k, n) in sizes.items() for _ in range(k)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, n int").repartition(8).selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    got = {r.source: r for r in mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).withColumnsRenamed({"sum(taken)": "taken", "max(target)": "target"}).collect()}
+    want = fill({s: k * n for s, (k, n) in sizes.items()})
+    for s, r in got.items():
+        assert r.target == pytest.approx(want[s]) and abs(r.taken - r.target) <= max(1, 0.01 * r.target), (s, r)
+
+
 def test_rare_and_null_languages_beside_a_large_one(docs_of):
     """Documents of a language with a thin reference, or of none, are kept unless they are far from every reference."""
     import random
