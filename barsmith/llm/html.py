@@ -2,7 +2,8 @@
 
 Method. A tokenizer feeds a tree builder that keeps the stack of open elements, closes elements whose end tags may be left
 out (p, li, dt, dd, tr, td, option ...) and matches end tags to open elements. Entering and leaving elements drives a
-renderer: hidden elements and their children give nothing, blocks start on new lines, paragraphs and headings stand between
+renderer: hidden elements (by name, by an attribute named hidden or by their style) and their children give nothing, of svg
+only text elements show, blocks start on new lines, paragraphs and headings stand between
 blank lines, list items get marks and indents, pre keeps its white space, and table cells are padded to columns.
 
 Cases. Null or empty html: empty text. Anything unclosed ends with the page; a stray < is text. Depth is not limited and
@@ -23,7 +24,9 @@ from barsmith.llm.common import map_texts, texts_of
 # Element names of HTML by their part in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed noembed noframes audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed noembed noframes audio video canvas datalist annotation annotation-xml".split())
+SVG_HIDDEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html legend li main menu nav option section summary tbody tfoot thead tr".split())
 CLOSES_P = BLOCK - frozenset("option caption tbody tfoot thead tr".split())
@@ -36,11 +39,40 @@ SCOPE = frozenset("table td th caption button object".split())
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-INVISIBLE = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["']?[^"']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+HINT = re.compile("hidden|style|display|visibility", re.I)
+NO_DECLARATION = re.compile(r"""/\*.*?\*/|"[^"]*"|'[^']*'|\([^)]*\)""", re.S)
 SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+def parsed(attributes: str) -> dict[str, str]:
+    """Values by name in lower case, empty where there is none; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def invisible(attributes: str, svg: bool) -> bool:
+    """Whether an attribute named hidden, or the declarations of the style attribute, hide an element.
+
+    A display in the style outweighs the attribute hidden; in svg both properties may be attributes too.
+    """
+    if not HINT.search(attributes):
+        return False
+    found = parsed(attributes)
+    said = {k: found.get(k, "").strip().lower() if svg else "" for k in ("display", "visibility")}
+    forced: set[str] = set()
+    for part in NO_DECLARATION.sub(" ", entities.unescape(found.get("style", ""))).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, strong = value.replace("!important", "").strip(), "!important" in value
+        if (name := name.strip()) in said and value and (strong or name not in forced):
+            said[name] = value
+            forced |= {name} if strong else set()
+    return said["display"] == "none" or said["visibility"] in ("hidden", "collapse") or "hidden" in found and not said["display"]
+
+
 class Table:
     def __init__(self, outer: Buffer) -> None:
         self.outer, self.rows, self.before = outer, [], []
@@ -123,7 +155,11 @@ class Page:
         if name in CLOSED_BY:
             ends, stops = CLOSED_BY[name]
             self.close_implied(ends, stops)
-        hides = name in HIDDEN or bool(attributes) and bool(INVISIBLE.search(attributes)) or name == "input"
+        svg = bool(self.count.get("svg"))
+        if svg and name in LEAVES_SVG and not self.count.get("foreignobject"):
+            self.end("svg")
+            svg = False
+        hides = name in HIDDEN or svg and name in SVG_HIDDEN or bool(attributes) and invisible(attributes, svg or name == "svg") or name == "input"
         if name in VOID:
             if not self.hidden and not hides:
                 if name == "br":
@@ -131,6 +167,8 @@ class Page:
                 elif name == "hr":
                     self.buffer.gap(2)
             return
+        if attributes.endswith("/") and (svg and not self.count.get("foreignobject") or self.count.get("math") or name in ("svg", "math")):
+            return  # only elements of svg and math close themselves
         self.open.append((name, hides))
         self.count[name] = self.count.get(name, 0) + 1
         self.hidden += hides
@@ -195,6 +233,10 @@ class Page:
                 self.pre += 1
             elif name == "blockquote":
                 self.lists.append(None)
+        elif name == "mtr":
+            b.gap(1)
+        elif name == "mtd" or name == "text" and self.count.get("svg"):
+            b.blank = True
 
     def spill(self) -> None:
         """Text of a table that stands outside its cells goes before the table, as browsers put it."""
@@ -226,6 +268,8 @@ class Page:
     def text(self, text: str) -> None:
         if self.hidden or not text:
             return
+        if self.count.get("svg") and not (self.count.get("text") or self.count.get("foreignobject")):
+            return  # svg draws only what stands in its text elements
         if "&" in text:
             text = entities.unescape(text)
         if self.pre:

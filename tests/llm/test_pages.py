@@ -55,3 +55,14 @@ def test_rows(spark):
     got = page_texts(pages).collect()
     assert sorted((r.page_id, r.text, r.n_chars, r.n_lines) for r in got) == [(1, "a\n\nb", 4, 3), (2, "", 0, 0), (2, "", 0, 0)]
     assert page_texts(pages.limit(0)).count() == 0
+
+
+def test_visibility():
+    """Only an attribute named hidden and the style's own declarations hide."""
+    for a in ('title="a hidden gem"', "title='a hidden gem'", 'class="md hidden lg:block"', 'data-style="display:none"', 'data-x="style=display:none"', 'style="x-display:none"', 'style="content:\';display:none;\'"', 'hidden style="display:block"', 'style="display:none;display:block"', "data-hidden", 'style=""'):
+        assert render(f"<body {a}><p {a}>seen</p></body>") == "seen", a
+    for a in ("hidden", "HIDDEN=''", 'class="x" hidden', 'hidden="until-found"', 'style="color:red;DISPLAY : none !important"', "style=visibility:hidden", "style='display:none!important;display:block'", 'a="b"style="display:none"'):
+        assert render(f"<p {a}>no</p>yes") == "yes", a
+    assert render("a <svg viewBox='0 0 1 1'><title>t</title><defs><text>no</text></defs><defs/><path d='x'/> z <text x=1>one</text><text>two</text></svg> b") == "a one two b"
+    assert render("<svg/>b<p>c<svg><path>d<div>e</div>") == "b\n\nc\n\ne" and render("<svg><text display='none'>n</text></svg>y") == "y"
+    assert render("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>") == "x=2"
