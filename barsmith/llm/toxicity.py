@@ -3,7 +3,7 @@
 Method. From a bounded sample of labelled documents come the segments (words) that toxic documents hold far more often,
 and the same number of ordinary segments of like length. Each dictionary is its segments followed by the same trained
 base of ordinary text, so a window of ordinary words compresses alike with both, and a window with toxic segments gets
-shorter with the toxic dictionary only. Every text is cut into windows of `WINDOW` words of four or more characters. What
+shorter with the toxic dictionary only. Every text is cut into windows of `WINDOW` words of three or more characters. What
 each window gains in bytes is evidence: the log ratio of how often toxic and ordinary windows gain as much, summed over
 the windows. A logistic curve turns the sum into a score. Ratios and curve are calibrated on sampled documents that the
 dictionaries have not seen.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import doc_texts, map_texts, texts_of
 
-WINDOW, LEAST = 5, 4
+WINDOW, LEAST = 5, 3  # LEAST: letters of a word, for stems and windows alike
 GAINS = 12  # gains are told apart from -GAINS to GAINS bytes
 EDGES = ".,;:!?#%$&*\"'()|"
 PARAMETERS = dict(strategy=zstd.STRATEGY_GREEDY, min_match=4, window_log=14, hash_log=12, chain_log=12, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -76,8 +76,8 @@ def gains(text: str, compressors: list[zstd.ZstdCompressor]) -> np.ndarray:
 
 def stems(text: str, share: float) -> set[str]:
     """Starts of words, 3 to 12 characters, that at least `share` of the words of a text have."""
-    words = [w for x in text.lower().split() if len(w := x.strip(EDGES)) >= 3]
-    found = Counter(w[:n] for w in words for n in range(3, min(12, len(w)) + 1))
+    words = [w for x in text.lower().split() if len(w := x.strip(EDGES)) >= LEAST]
+    found = Counter(w[:n] for w in words for n in range(LEAST, min(12, len(w)) + 1))
     return {w for w, n in found.items() if n >= share * len(words)}
 
 
@@ -102,7 +102,7 @@ def segments(rows: list[tuple[str, int]], least: float, share: float = 0.003) ->
 
     found: list[str] = []
     for e, _, w in sorted((-evidence(w), len(w), w) for w in held[1] if held[1][w] >= 5):
-        if -e < least or len(found) >= 60:
+        if -e < least:
             break
         if any(w.startswith(x) or x.startswith(w) for x in found):
             continue

@@ -232,3 +232,26 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_short_and_many_toxic_words():
+    """Toxic words of three letters count in windows, and there is no bound on the stems that have evidence."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("etaoinshr", k=6)) for _ in range(300)]
+    bad = ["".join(x) for x in itertools.product("kqxz", "uvwy", "bgjkp")][:75]
+
+    def text(label):
+        words = rng.choices(plain, k=40) + rng.sample(bad, 25 * label)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(text(k), k) for k in [0] * 600 + [1] * 200]
+    rng.shuffle(rows)
+    assert {*bad} <= {*toxicity.segments(rows, 5.0)[0]}
+    model = toxicity.fit(rows)
+    compressors = model.compressors()
+    found = [sum(model.score(np.array([toxicity.gains(text(k), compressors) @ model.ratios]))[0] >= 0.7 for _ in range(20)) for k in (0, 1)]
+    assert found[0] <= 1 and found[1] >= 18
