@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH with fixed bands, and exact verification.
 
 Method. A text is the set of its runs of five words (a shorter text: one run of all its words). Its signature is
-`TREES * DEPTH` minima, DEPTH for each tree of the forest. Two texts of similarity s share a prefix of k minima in a tree
-with probability s**k, in one of the trees with 1 - (1 - s**k)**TREES; prefixes are shortened from DEPTH until that reaches
-the target recall at the threshold. Texts under one prefix are candidates. Pairs of small groups pass a sieve on 256 bits
+`TREES * DEPTH` minima, DEPTH for each of the TREES bands. Two texts of similarity s share a prefix of k minima in a band
+with probability s**k, in one of the bands with 1 - (1 - s**k)**TREES; k is the largest number up to DEPTH at which that
+reaches the target recall at the threshold (1 if none does: at thresholds under about 0.3 recall is below the target). It is
+settled before any text is read. Texts under one prefix are candidates. Pairs of small groups pass a sieve on 256 bits
 of the signatures (which lets a pair at the threshold through but for a chance under 1e-9); in groups over `MOST` nothing
 is paired: their members hang on the smallest. The components of this graph are then verified exactly: all sets of a
 component meet in blocks of `BLOCK` members, and a task compares two blocks by a matrix product of shingle columns and
