@@ -10,7 +10,7 @@ of any: such a document is compared with its own reference and with that of each
 two distances is the least of these, so it fails only if it is far from all.
 
 Cases. Null text: no words, so base_failed. Null language: rows of any languages, with a reference of their own that is taken
-as thin. Without any reference a document is kept. Repeated rows give repeated results; an empty table gives an empty result.
+as thin; where theirs has no reference with enough words either, they may still be rejected. Without any reference a document is kept. Repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations

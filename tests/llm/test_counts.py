@@ -170,6 +170,6 @@ def test_rare_and_null_languages_beside_a_large_one(docs_of):
 
     junk = [" ".join("".join(rng.choices("#$%&*|", k=6)) for _ in range(200)) for _ in range(2)]
     rows = [(i, prose("en"), "en", "a") for i in range(90)] + [(100 + i, prose("de"), "de", "a") for i in range(10)] + [(200, prose("fr"), "fr", "a")]
-    rows += [(300 + i, prose("en"), None, "a") for i in range(6)] + [(310 + i, prose("de"), None, "a") for i in range(2)] + [(400, junk[0], "de", "a"), (401, junk[1], "en", "a")]
+    rows += [(300 + i, prose("en"), None, "a") for i in range(6)] + [(310 + i, prose("es"), None, "a") for i in range(2)] + [(500 + i, prose("es"), "es", "a") for i in range(40)] + [(400, junk[0], "de", "a"), (401, junk[1], "en", "a")]
     got = {r.doc_id: r.kept for r in quality.quality(docs_of(rows)).collect()}
     assert [d for d, *_ in rows if not got[d]] == [400, 401]
