@@ -134,7 +134,7 @@ def evidence_stems(rows: list[tuple[str, int]], least: float, share: float = 0.0
     return found
 
 
-def trained(samples: list[bytes], size: int, segment: int = 16) -> bytes:
+def trained(samples: list[bytes], size: int, segment: int = 12) -> bytes:
     """The last `size` bytes of the content of a zstandard dictionary trained on samples; its best segments stand last."""
     try:
         return zstd.train_dictionary(size + 3000, samples, k=segment, d=8).as_bytes()[-size:]
@@ -147,7 +147,8 @@ def fit(rows: list[tuple[str, int]], least: float = 5.0) -> Model:
     learn, calibrate = rows[::2], rows[1::2]
     learn = fresh(learn)
     starts = tuple(evidence_stems(learn, least))
-    toxic = [f" {w} ".encode() for text, label in learn if label == 1 and starts for w in text.lower().split() if w.startswith(starts)]
+    # Twice, as zstandard counts runs of eight bytes within a sample.
+    toxic = [f" {w} {w} ".encode() for text, label in learn if label == 1 and starts for w in text.lower().split() if w.startswith(starts)]
     ordinary = [w for text, label in learn if label == 0 for w in windows(text)]
     base = trained(ordinary[::3], BASE, 24)
     y = np.array([label for _, label in calibrate], float)

@@ -56,14 +56,61 @@ def test_personal_data(docs_of, odd_rows):
     assert masked[1].text is None and masked[7].text == "the same words again"
 
 
+def stacked(field, lines):
+    words = pii.Words()
+    ids = [field.numbers(x.encode(), words) for x in lines]
+    words.stack()
+    return ids, words
+
+
 def test_field_learns_its_table():
     field = pii.train()
     rows = pii.labelled()
-    paths = pii.viterbi([field.rows(w, {}) for w, _ in rows], field, batch=7)
-    right = sum(int((np.array(y) == p).sum()) for (_, y), p in zip(rows, paths, strict=True))
-    assert right / sum(len(y) for _, y in rows) > 0.95
-    held = pii.scan(["please write to tom dot lee at web dot org soon", "the dot is at the end", "version 4.2 of 2019 has 12 parts"], field, {})
-    assert [len(a) for _, a in held] == [1, 0, 0]
+    ids, words = stacked(field, [" ".join(w) for w, _ in rows])
+    paths = pii.viterbi(ids, words.table, field, batch=7)
+    assert sum(list(p) != y for p, (_, y) in zip(paths, rows, strict=True)) <= 2
+
+
+def test_viterbi_against_enumeration(monkeypatch):
+    """The best path among all label sequences, with scores made for two words at a time; plain lines are surely O."""
+    import itertools
+
+    field, rng = pii.train(), random.Random(5)
+    some = ["the", "at", "dot", "=", "token", '"12ab34cd56ef78ab90"', "(555)", "123-4567", "Sea,", "10"]
+    lines = [" ".join(rng.choice(some) for _ in range(n)) for n in (1, 2, 3, 4, 4, 5, 5)]
+    ids, words = stacked(field, lines)
+    monkeypatch.setattr(pii, "STEP", 2)
+    keep = [0, 1, 2, 7, 8, 9, 10]  # labels to enumerate: O, email, phone, secret
+    table = np.full_like(words.table, -1e5)
+    table[:, :, keep] = words.table[:, :, keep]
+    table[0] = 0
+    for line, path in zip(ids, pii.viterbi(ids, table, field, batch=3), strict=True):
+
+        def total(y):
+            own = sum(table[w, 0, k] for w, k in zip(line, y, strict=True)) + field.first[y[0]]
+            own += sum(table[line[j - 1], 1, y[j]] + field.move[y[j - 1], y[j]] for j in range(1, len(y)))
+            return own + sum(table[line[j + 1], 2, y[j]] for j in range(len(y) - 1))
+
+        assert total(path) == pytest.approx(max(map(total, itertools.product(keep, repeat=len(line)))))
+    plain = "\n".join(["the sea and the land", "token of it", "x = 3", "It was The End", *lines])
+    ids, words = stacked(field, [plain])
+    bounds = pii.places(plain)[2]
+    sure = field.plain(ids[0], bounds, words.gain)
+    for ok, path in zip(sure, pii.viterbi([ids[0][a:b] for a, b in zip(bounds, bounds[1:])], words.table, field), strict=True):
+        assert not (ok and path.any())
+    assert sure.any() and not sure.all()
+
+
+def test_long_digit_runs_and_whole_texts():
+    """Digit runs of any length do no harm, and what stands far into a text, on one line or many, is found."""
+    field, words = pii.train(), pii.Words()
+    texts = ["9" * 5000 + ".1.1.1", "9" * 10**6 + ".1.1.1 and (555) 123-4567", "0" * 5000 + "1.2.3.4", "9" * 10**6]
+    found = pii.scan(texts, field, words)
+    assert [len(b) for b, _ in found] == [0, 0, 1, 0] and not pii.plausible("ip", "1 . 2 . 3 . " + "7" * 5000)
+    for gap in (" ", "\n"):
+        text = f"sea{gap}land{gap}" * 40_000 + 'token = "12ab34cd56ef78ab90cd" call (555) 123-4567 now'
+        ((_, more),) = pii.scan([text], field, words)
+        assert [text[a:b] for _, a, b in more] == ["(555) 123-4567", "12ab34cd56ef78ab90cd"]
 
 
 def test_pieces(docs_of, odd_rows):
@@ -98,6 +145,11 @@ def test_agendas_agree(monkeypatch):
     assert np.array_equal(codec.encode(texts, [1, 2, 3, 4, 5], 17, 0.15)[0], want)
 
 
+def test_empty_tables(docs_of, odd_rows):
+    none = docs_of(odd_rows).limit(0)
+    assert pii.personal_data(none).count() == pii.redacted(none).count() == pieces.encoded(none, MODEL).count() == 0
+
+
 def test_toxicity_on_held_out(spark, docs_of, odd_rows):
     rng = random.Random(7)
 
@@ -122,6 +174,7 @@ def test_toxicity_on_held_out(spark, docs_of, odd_rows):
     assert got[2].predicted == 0 and got[1].predicted == 0
     none = toxicity.toxicity(docs_of(rows[:3]), frame.limit(0))
     assert none.count() == 3
+    assert toxicity.toxicity(docs_of([]), frame).count() == 0
 
 
 def jaccard(a, b):
@@ -234,6 +287,22 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if x != r}
 
 
+def test_gains_of_windows():
+    """Every word is in one window, and gains are differences of compressed lengths, window by window."""
+    rng = random.Random(1)
+    rows = [(" ".join(rng.choices(["sun", "sea", "a", "of", "grimtoad" if k else "hill"], k=30)), k) for k in [0, 1] * 80]
+    model = toxicity.fit(rows)
+    text = "a  Big of\nGRIMTOAD x " * 7
+    assert b" ".join(w.strip() for w in toxicity.windows(text)).decode() == " ".join(text.lower().split())
+    want = Counter()
+    for w in toxicity.windows(text):
+        lengths = [len(c.compress(w)) for c in model.compressors()]
+        want[max(-toxicity.GAINS, min(toxicity.GAINS, lengths[0] - lengths[1])) + toxicity.GAINS] += 1
+    got = toxicity.gains(text, model.compressors())
+    assert Counter({i: n for i, n in enumerate(got) if n}) == want
+    assert model.toxic[-40:] == model.ordinary[-40:] and model.toxic != model.ordinary  # the same base
+
+
 def test_short_and_many_toxic_words():
     """Toxic words of three letters count in windows, and there is no bound on the stems that have evidence."""
     import itertools
@@ -250,7 +319,7 @@ def test_short_and_many_toxic_words():
 
     rows = [(text(k), k) for k in [0] * 600 + [1] * 200]
     rng.shuffle(rows)
-    assert {*bad} <= {*toxicity.segments(rows, 5.0)[0]}
+    assert {*bad} <= {*toxicity.evidence_stems(rows, 5.0)}
     model = toxicity.fit(rows)
     compressors = model.compressors()
     found = [sum(model.score(np.array([toxicity.gains(text(k), compressors) @ model.ratios]))[0] >= 0.7 for _ in range(20)) for k in (0, 1)]
