@@ -4,27 +4,60 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+_made: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="barsmith-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="barsmith-")
+    return _local[context.applicationId]
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for one written table."""
+    path = f"{checkpoint_root(spark)}/barsmith/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage between the rounds of an iteration."""
-    path = f"{checkpoint_root(df.sparkSession)}/barsmith/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts lineage, survives lost executors, is read instead of computed anew."""
+    path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what was written within it, but for the tables written by the function that it gives."""
+    start, kept = len(_made), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept.append(_made.pop())
+        return out
+
+    yield keep
+    for path in _made[start:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[start:] = kept
+
+
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at path, or an empty one of the schema where there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
