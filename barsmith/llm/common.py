@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.sources.state import scratch, work_dir, written
+
+__all__ = ["WORD", "by_bytes", "doc_texts", "map_texts", "scratch", "table", "texts_of", "work_dir", "written"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="barsmith-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one written table."""
-    return f"{work_root(spark)}/barsmith/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is read instead of computed anew."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_work(spark: SparkSession) -> None:
-    """Delete what `written` left in the shared folder, once no returned DataFrame is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/barsmith")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def by_bytes(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes, of one row at least."""
     start, size, mean = 0, 0, max(1, batch.nbytes // max(1, batch.num_rows))
