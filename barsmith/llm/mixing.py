@@ -7,12 +7,14 @@ its shards (documents by keyed hash) in the same way, by shard size, which gives
 the documents lie on a line of words in keyed order, cut into blocks; the mix takes whole passes over the line and then a
 circular run of blocks from a keyed start. So no word is taken more than twice.
 
-Scale. One pass over the texts counts words; all else works on (doc_id, source, size). A hot source has as many shards as
-its size asks for, up to `max_shards`, so no task holds a source. Apportionment works on one row for each source or shard
-and a few candidate seats each.
-
-Cases. Null text: size 0, taken 0. Null source: a source of its own, last. Equal doc_id: each row counts; which of them
-gets the words is settled by size, and rows equal in both are alike. Empty table: empty result. No words: targets 0.
+Scale. One pass over the texts counts words; all else works on (doc_id, source, size). A source has as many shards as its
+size asks for, so no task holds a source or its line. Shards are apportioned in two steps, to groups of at most `GROUP` shards
+and within them, so no task holds the shards of a source either. Apportionment works on one row for each source, group or
+shard and a few candidate seats each; only the sources, as many as there are names, meet in one task.
+
+Cases. Null text: size 0, taken 0. Null source: a source of its own, last. Equal or null doc_id: each row counts, and rows are
+dealt by doc_id and text; which of them gets the words is settled by size, and rows equal in both are alike. Empty table:
+empty result. No words: targets 0. Extra columns, whatever their names, are not read (`mix`) or passed through (`mixed`).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from barsmith.llm.common import WORD, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
+GROUP = 1024
 
 
 def apportion(items: DataFrame, group: list[str], item: list[str], votes: str, seats: str) -> DataFrame:
@@ -70,12 +73,12 @@ def _overlap(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(end, high) - F.greatest(start, low))
 
 
-def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words: int = 250_000, max_shards: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words: int = 250_000) -> DataFrame:
     """One row for each row of docs: doc_id, text_key, source, size, source_size, target, taken.
 
     passes: how often the whole document is taken; words_1 words from word from_1 on, and words_2 from from_2, come on top.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     every = Window.partitionBy()
     source = targets(sizes, total_share)
     # Blocks so small that rounding to a seat is about a 4000th of a mean target and a 400th of the smallest, 1 to 1024 words.
@@ -83,15 +86,19 @@ def mix(docs: DataFrame, seed: int = 17, total_share: float = 1.5, shard_words:
     mean, least = F.sum("target").over(every) / F.count(F.lit(1)).over(every), F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     block = F.coalesce(F.least(F.lit(1024), F.greatest(F.lit(1), F.floor(F.least(mean / 2000, least / 200)))), F.lit(1)).cast("long")
     source = source.withColumn("block", block).withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
-    source = source.withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
+    source = source.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     source = apportion(source.withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "seats").drop("_all", "seats").withColumnRenamed("quota", "seats")
     source = written(source, "sources")  # small: a row for each source
 
     s = source.select(F.col("source").alias("_source"), "source_size", "target", "block", "seats", "shards")
     dealt = sizes.join(s, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    dealt = dealt.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
+    dealt = dealt.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text_key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.col("shards")))
     per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("block").alias("block"))
-    quotas = apportion(per_shard, ["source"], ["shard"], "shard_size", "seats").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "quota")
+    per_shard = written(per_shard.withColumn("group", F.floor(F.col("shard") / GROUP)), "shards")
+    groups = per_shard.groupBy("source", "group").agg(F.sum("shard_size").alias("group_size"), F.first("seats").alias("seats"))
+    groups = apportion(groups, ["source"], ["group"], "group_size", "seats").select(F.col("source").alias("_source"), F.col("group").alias("_group"), F.col("quota").alias("group_seats"))
+    per_shard = per_shard.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("group") == F.col("_group"))).drop("_source", "_group")
+    quotas = apportion(per_shard, ["source", "group"], ["shard"], "shard_size", "group_seats").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "quota")
     quotas = written(quotas, "quotas")
     dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left").drop("_source", "_shard")
 
@@ -122,21 +129,35 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs as the mix takes them: a row for each whole pass over a document and one for each part of it that a block cuts.
 
     A part is the text from the start of its first word to the end of its last, white space inside and all; blocks that hold a
-    whole document give the document as it is. n_chars, where there, is counted anew. Rows that share doc_id and text get one
-    decision, that of the row of them which the mix takes most of.
+    whole document give the document as it is. n_chars, where there, is counted anew. Of rows that share doc_id, source and text
+    each gets one of their shares of the mix.
     """
-    plan = mix(docs, seed).filter("taken > 0")
-    w = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("taken"), F.desc("passes"), "from_1", "words_1", "words_2")
-    plan = plan.withColumn("_first", F.row_number().over(w)).filter("_first = 1")
+    plan = mix(docs, seed)
     # The run may end before the word that it starts with: both parts together are the document then.
-    full = (F.col("words_1") == F.col("size")) | (F.col("words_2") == F.col("size")) | ((F.col("words_2") == F.col("from_1")) & (F.col("words_1") + F.col("words_2") == F.col("size")))
+    full = (F.col("size") > 0) & ((F.col("words_1") == F.col("size")) | (F.col("words_2") == F.col("size")) | ((F.col("words_2") == F.col("from_1")) & (F.col("words_1") + F.col("words_2") == F.col("size"))))
     whole = F.array_repeat(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("words")), (F.col("passes") + full.cast("long")).cast("int"))
     parts = F.filter(F.array(*(F.struct(F.col(f"from_{i}").cast("long").alias("start"), F.col(f"words_{i}").alias("words")) for i in (1, 2))), lambda x: (x["words"] > 0) & ~full)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode(F.concat(whole, parts)).alias("_take"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    spaced = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))  # words with the white space before them
-    cut = F.array_join(F.slice(spaced, F.col("_take.start").cast("int") + 1, F.col("_take.words").cast("int")), "")
+    takes = F.when(F.col("taken") > 0, F.concat(whole, parts)).otherwise(F.slice(whole, 1, 0))
+
+    def key(doc_id: Column, text_key: Column, source: Column) -> Column:
+        """Of equal rows alone; one string, so that the join and the numbering of equal rows share one shuffle."""
+        return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), text_key.cast("string"), F.xxhash64(source.cast("string")).cast("string"))
+
+    # A row for each different document: the shares of its rows, the largest first.
+    shares = plan.select(key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("key"), F.struct("taken", takes.alias("takes")).alias("share"))
+    shares = shares.groupBy("key").agg(F.sort_array(F.collect_list("share"), asc=False).alias("shares"), F.sum("share.taken").alias("taken")).filter("taken > 0").select("key", "shares")
+
+    # All columns of docs go in one, so that helper columns cannot clash with theirs.
+    row = F.col("row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("own", key(row["doc_id"], F.xxhash64(row["text"].cast("string")), row["source"]))
+    rows = rows.join(shares, F.col("own") == F.col("key"))
+    nth = F.row_number().over(Window.partitionBy("own").orderBy("own"))
+    one = F.when(F.size("shares") == 1, 1).otherwise(nth)
+    rows = rows.withColumn("nth", one).withColumn("take", F.explode(F.element_at("shares", F.col("nth"))["takes"]))
+    spaced = F.regexp_extract_all(row["text"], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))  # words with the white space before them
+    cut = F.array_join(F.slice(spaced, F.col("take.start").cast("int") + 1, F.col("take.words").cast("int")), "")
     cut = F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")
-    rows = rows.withColumn("text", F.when(F.col("_take.start") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
-    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+    rows = rows.withColumn("text", F.when(F.col("take.start") < 0, row["text"]).otherwise(cut))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, row[c]).alias(c) for c in docs.columns))
