@@ -9,6 +9,11 @@ A thin reference, of fewer than `min_reference` words, is no evidence against a
 of any: such a document is compared with its own reference and with that of each language which has enough words, and each of its
 two distances is the least of these, so it fails only if it is far from all.
 
+References are fitted on the documents themselves, over all of them, or given: `fit_references` makes the table that `quality`
+takes, so that shards, or later documents, can be judged alike whatever their neighbours are.
+
+A common word counts in any case, with a mark before or after it ("The", "the," and "Él").
+
 Cases. Null text: no words, so base_failed. Null language: rows of any languages, with a reference of their own that is taken
 as thin; where theirs has no reference with enough words either, they may still be rejected. Without any reference a document is kept. Repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -31,6 +36,7 @@ COMMON_WORDS = {
 }
 WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "line end", "stop", "pause", "symbol", "rest")
+OPENS, CLOSES = b"(\"'", b".,;:!?)\"'"
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 WINDOW = 5
@@ -74,7 +80,8 @@ def repeated_words(ids: np.ndarray) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
+def base_counts(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
+    """Words, their code points, symbols, repeated lines, words in repeated runs, and how often each word occurs."""
     data = text.encode()
     words = data.split()
     blanks = len(data) - len(data.translate(None, SPACES))
@@ -83,10 +90,17 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     return (
         len(words), len(text) - blanks, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-        repeated_words(ids), words,
+        repeated_words(ids), dict(zip(number, np.bincount(ids, minlength=len(number)).tolist(), strict=True)),
     )
 
 
+def bare(word: bytes) -> bytes:
+    """A word in lower case without a mark before and one after it."""
+    word = word[1:] if word[:1] in OPENS and word[:1] else word
+    word = word[:-1] if word[-1:] in CLOSES and word[-1:] else word
+    return word.lower() if word.isascii() else word.decode(errors="replace").strip("«»“”„¿¡…").lower().encode()
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, and the two histograms as arrays, with their sums."""
     place = {w.encode(): i for i, w in enumerate(WORDS)}
@@ -101,10 +115,10 @@ def measures(docs: DataFrame) -> DataFrame:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             chars.append(np.bincount(tables[0][points], minlength=len(CLASSES)))
             hist = [0] * (len(WORDS) + 1)
-            for w in words:
-                if len(w) < 8 and (i := place.get(w.lower())) is not None:
-                    hist[i] += 1
-            hist[-1] = len(words) - sum(hist)
+            for w, n in words.items():
+                if len(w) < 12 and (i := place.get(bare(w))) is not None:
+                    hist[i] += n
+            hist[-1] = five[0] - sum(hist)
             common.append(hist)
         cols = np.array(counts, np.int64).reshape(-1, 5).T
         return pa.RecordBatch.from_arrays(
@@ -133,6 +147,11 @@ def references(measured: DataFrame, min_reference: int) -> DataFrame:
     return own.select(F.col("lang").alias("ref_lang"), thick.alias("thick"), F.struct(shares("char_hist").alias("chars"), shares("word_hist").alias("words")).alias("ref"))
 
 
+def fit_references(docs: DataFrame, min_reference: int = 5000) -> DataFrame:
+    """The references of docs, to be written or passed to `quality`."""
+    return references(measures(docs), min_reference)
+
+
 def shares(name: str) -> Column:
     """A histogram as shares of its sum, which stands in <name>_sum: as a column it is added up once, not for each bin."""
     return F.transform(F.col(name), lambda v: F.try_divide(v.cast("double"), F.col(f"{name}_sum").cast("double")))
@@ -153,15 +172,15 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def quality(
-    docs: DataFrame, char_limit: float = 0.22, word_limit: float = 0.2, word_slack: float = 1.25, min_chars: int = 200, min_words: int = 50, min_reference: int = 5000
+    docs: DataFrame, char_limit: float = 0.22, word_limit: float = 0.2, word_slack: float = 1.25, min_chars: int = 200, min_words: int = 50, min_reference: int = 5000, given: DataFrame | None = None,
 ) -> DataFrame:
-    """doc_id, base counts, base_failed, char_distance, word_distance, kept. One row for each row of docs.
+    """doc_id, base counts, base_failed, char_distance, word_distance, kept. One row for each row of docs. given: references.
 
     Few words spread a histogram by chance, so the limit of word_distance is word_limit + word_slack / sqrt(n_words).
     """
     measured = written(measures(docs), "quality")
     # References have a row for each language. Spark broadcasts them when its size check allows, else joins by shuffle.
-    refs = written(references(measured, min_reference), "references")
+    refs = written(references(measured, min_reference) if given is None else given, "references")
     every = refs.filter("thick").agg(F.collect_list("ref").alias("others"))
     joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     joined = joined.join(F.broadcast(every), ~F.coalesce("thick", F.lit(False)), "left")
@@ -170,4 +189,5 @@ def quality(
     joined = joined.withColumn("both", both).withColumns({"char_distance": F.array_min("both.c"), "word_distance": F.array_min("both.w")})
     odd = ((F.col("char_hist_sum") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= F.lit(min_words)) & (F.col("word_distance") > F.lit(word_limit) + F.lit(word_slack) / F.sqrt("n_words")))
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
+    return written(out, "verdicts")  # a filter on them would else go into the join, and the distances with it
