@@ -2,12 +2,15 @@
 
 Writing. Of pages with equal payloads of at least `revisit_bytes`, the one with the smallest page_id is a response and the
 others are revisit records that refer to it. A payload over `chunk_bytes` becomes a segmented record: a response with
-segment number 1 and continuation records, so no row, line or buffer holds a whole oversized payload. Rows of text are
-written by Spark's text writer, one archive (gzip) for each partition, into any store that Spark can write.
+segment number 1 and continuation records. Segments are cut from the Arrow buffer one at a time, so no row, line or copy holds a
+whole oversized payload. Rows of text are written by Spark's text writer, one archive (gzip) for each partition, of about
+`archive_bytes` at most, into any store that Spark can write.
 
 Reading. Archives go through Spark's text reader line by line (a gzip file is one split, in order) and a small state
 machine turns lines into a table of chunks: record identifier, chunk number, bytes and SHA-256 of the payload so far. The
-row with `last` has the length and digest of the whole payload.
+row with `last` has the length and digest of the whole payload. Segments find their record by its identifier and must come in
+order; an archive that ends within a record, or lacks one of its segments, raises an error, and so does `page_records` where a
+digest differs.
 
 Cases. Null html: empty payload. Null url: no target. Null page_id: kept, never a response to others. Repeated rows of the
 smallest page_id are all responses. Payloads keep any line ends. Extra columns are not read. An empty table gives an
@@ -16,7 +19,9 @@ archive without records and an empty result.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.llm.common import written
+
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, chunk long, payload binary, bytes_so_far long, digest_so_far string, last boolean, intact boolean"
 
@@ -33,7 +40,7 @@ def record_id(page_id: int | None, digest: str, segment: int = 1) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id}:{digest}:{segment}'.encode()).digest()[:16])}>"
 
 
-def cut(data: bytes, size: int) -> Iterator[bytes]:
+def cut(data: memoryview, size: int) -> Iterator[memoryview]:
     """data in chunks of at most about size bytes, between code points."""
     start = 0
     while len(data) - start > size:
@@ -45,51 +52,53 @@ def cut(data: bytes, size: int) -> Iterator[bytes]:
     yield data[start:]
 
 
-def records(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None, revisit: bool, chunk_bytes: int) -> Iterator[str]:
+def records(page_id: int | None, url: str | None, payload: memoryview, digest: str, refers_to: int | None, revisit: bool, chunk_bytes: int, date: str) -> Iterator[str]:
     """The records of a page as text, each without its last line feed."""
-    payload = html.encode()
-    own = {"X-Page-ID": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload)), "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Date": "1970-01-01T00:00:00Z"}
+    own = {"X-Page-ID": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload)), "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Date": date}
     if url is not None:
         own["WARC-Target-URI"] = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     if revisit:
         own |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": str(refers_to)}
-        yield _record("revisit", record_id(page_id, digest), own, "", HTTP)
+        yield _record("revisit", record_id(page_id, digest), own, b"", HTTP)
         return
-    parts = list(cut(payload, chunk_bytes)) if len(payload) > chunk_bytes else [payload]
-    first = record_id(page_id, digest)
-    for n, part in enumerate(parts, 1):
-        segment = {"WARC-Segment-Number": str(n)} if len(parts) > 1 else {}
+    first, done = record_id(page_id, digest), 0
+    for n, part in enumerate(cut(payload, chunk_bytes), 1):
+        done += len(part)
+        segment = {"WARC-Segment-Number": str(n)} if len(payload) > chunk_bytes else {}
         if n == 1:
-            yield _record("response", first, own | segment, part.decode(), HTTP)
+            yield _record("response", first, own | segment, part, HTTP)
         else:
             segment["WARC-Segment-Origin-ID"] = first
-            if n == len(parts):
-                segment["WARC-Segment-Total-Length"] = str(len(payload) + len(HTTP))
-            yield _record("continuation", record_id(page_id, digest, n), {"WARC-Date": own["WARC-Date"]} | segment, part.decode(), "")
+            if done == len(payload):
+                segment["WARC-Segment-Total-Length"] = str(done + len(HTTP))
+            yield _record("continuation", record_id(page_id, digest, n), {"WARC-Date": date} | segment, part, "")
 
 
-def _record(kind: str, name: str, fields: dict[str, str], body: str, http: str) -> str:
-    head = {"WARC-Type": kind, "WARC-Record-ID": name, **fields, "Content-Type": "application/http;msgtype=response", "Content-Length": str(len(http) + len(body.encode()))}
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n" + http + body + "\r\n\r"
+def _record(kind: str, name: str, fields: dict[str, str], body: bytes | memoryview, http: str) -> str:
+    head = {"WARC-Type": kind, "WARC-Record-ID": name, **fields, "Content-Type": "application/http;msgtype=response", "Content-Length": str(len(http) + len(body))}
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n" + http + str(body, "utf-8") + "\r\n\r"
 
 
-def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 100, chunk_bytes: int = 1 << 20) -> None:
-    """Write a record for each row of pages (page_id, url, html) into archives under path."""
+def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 100, chunk_bytes: int = 1 << 20, archive_bytes: int = 1 << 30, date: str | None = None) -> None:
+    """Write a record for each row of pages (page_id, url, html) into archives under path; date is that of the records (now)."""
+    date = date or f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}"
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha2("html", 256))
-    long = p.filter(F.octet_length("html") >= revisit_bytes).select("page_id", "digest")
+    p = p.withColumn("digest", F.sha2("html", 256)).withColumn("key", F.concat_ws(":", "digest", F.col("page_id").cast("string")))
+    heads = written(p.select("page_id", "digest", "key", F.octet_length("html").alias("bytes")), "heads")
+    total = heads.agg(F.sum("bytes")).first()[0] or 0
+    archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / archive_bytes))
+    long = heads.filter(F.col("bytes") >= revisit_bytes)
     # Only digests that occur again; the join of (page, digest) rows is narrow, so a hot payload is cheap and can be split.
     first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
-    again = long.join(first.select("digest", "refers_to"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    again = again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit"))
-    # Payloads are dealt by page, evenly, never by digest.
-    full = p.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    again = long.join(first.select("digest", "refers_to"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("key", "refers_to").distinct()
+    # Payloads are dealt by page, evenly, never by digest, and move once: the join goes by the same key.
+    full = p.repartition(archives, "key").join(again.withColumn("revisit", F.lit(True)), "key", "left")
 
     def to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
-                for text in records(*row[:5], bool(row[5]), chunk_bytes):
+            out, size, html = [], 0, batch.column("html")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "revisit")), strict=True)):
+                for text in records(*row[:2], memoryview(html[i].as_buffer()), *row[2:4], bool(row[4]), chunk_bytes, date):
                     out.append(text)
                     size += len(text)
                     if size > 1 << 22:
@@ -111,6 +120,7 @@ class Reader:
         self.part: list[bytes] = []
         self.state, self.head, self.left = "between", {}, 0
         self.record: dict | None = None
+        self.open: dict[str, dict] = {}  # segmented records that wait for more
 
     def line(self, text: str) -> None:
         if self.state == "body":
@@ -130,13 +140,20 @@ class Reader:
 
     def _begin(self) -> None:
         h, self.left = self.head, int(self.head["content-length"])
-        kind = h["warc-type"]
-        if kind != "continuation":
-            page, to = h.get("x-page-id", ""), h.get("x-refers-to-page", "")
-            self.record = {"id": h["warc-record-id"], "page": int(page) if page else None, "kind": kind, "to": int(to) if to else None, "chunk": 0, "bytes": 0, "sha": hashlib.sha256(), "digest": h.get("warc-payload-digest", "").removeprefix("sha256:"), "length": int(h.get("x-payload-length", 0))}
-        self.state = "http" if kind != "continuation" else "body"
+        kind, segment = h["warc-type"], int(h.get("warc-segment-number", 1))
         if kind == "continuation":
+            origin = h.get("warc-segment-origin-id", "")
+            self.record = self.open.get(origin)
+            if self.record is None or segment != self.record["chunk"] + 1:
+                raise ValueError(f"segment {segment} of record {origin} is out of place")
+            self.state = "body"
             self._enter()
+            return
+        page, to = h.get("x-page-id", ""), h.get("x-refers-to-page", "")
+        self.record = {"id": h["warc-record-id"], "page": int(page) if page else None, "kind": kind, "to": int(to) if to else None, "chunk": 0, "bytes": 0, "sha": hashlib.sha256(), "digest": h.get("warc-payload-digest", "").removeprefix("sha256:"), "length": int(h.get("x-payload-length", 0))}
+        if "warc-segment-number" in h:
+            self.open[self.record["id"]] = self.record
+        self.state = "http"
 
     def _enter(self) -> None:
         self.state, self.part = "body", []
@@ -162,8 +179,17 @@ class Reader:
         else:
             digest, last = r["sha"].hexdigest(), r["bytes"] == r["length"]
             self.rows.append((r["id"], r["page"], r["kind"], None, r["chunk"], payload, r["bytes"], digest, last, not last or digest == r["digest"]))
+            if last:
+                self.open.pop(r["id"], None)
+            elif r["id"] not in self.open:
+                raise ValueError(f"record {r['id']} has {r['bytes']} of {r['length']} bytes")
         self.state, self.part = "between", []
 
+    def close(self) -> None:
+        """At the end of the archives: nothing may be left open."""
+        if self.state != "between" or self.open:
+            raise ValueError(f"archive ends within record {self.record['id'] if self.state != 'between' and self.record else next(iter(self.open), '')}")
+
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The chunk table of all archives under path."""
@@ -177,10 +203,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             if reader.rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*reader.rows, strict=True), schema.types, strict=True)], schema=schema)
                 reader.rows = []
+        reader.close()
 
     return spark.read.option("lineSep", "\n").schema("value string").text(path).mapInArrow(to_chunks, CHUNKS)
 
 
 def page_records(chunks: DataFrame) -> DataFrame:
-    """One row for each page: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, intact."""
-    return chunks.filter("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to", F.col("chunk").alias("chunks"), "intact")
+    """One row for each page: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, intact (or an error)."""
+    digest = F.when(F.col("intact"), F.col("digest_so_far")).otherwise(F.raise_error(F.concat(F.lit("not intact: "), "record_id")))
+    return chunks.filter("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", F.col("chunk").alias("chunks"), "intact")
