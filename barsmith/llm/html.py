@@ -4,7 +4,10 @@ Method. A tokenizer feeds a tree builder that keeps the stack of open elements,
 out (p, li, dt, dd, tr, td, option ...) and matches end tags to open elements. Entering and leaving elements drives a
 renderer: hidden elements (by name, by an attribute named hidden or by their style) and their children give nothing, of svg
 only text elements show, blocks start on new lines, paragraphs and headings stand between
-blank lines, list items get marks and indents, pre keeps its white space, and table cells are padded to columns.
+blank lines, list items get marks (numbers go by start and value) and indents, pre keeps its white space, and table cells are padded
+to columns by display width, spanned ones left empty. Columns are padded to WIDEST at most, and a table that would take more blanks
+than four times the page (and 100,000) has its cells one after another instead, so a page's text stays in proportion to it.
+A closed dialog is hidden; the content of details is shown, open or not.
 
 Cases. Null or empty html: empty text. Anything unclosed ends with the page; a stray < is text. Depth is not limited and
 nothing recurses. Repeated rows give repeated results; an empty table gives an empty result; extra columns are not read.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from unicodedata import combining
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +46,8 @@ ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
 HINT = re.compile("hidden|style|display|visibility", re.I)
 NO_DECLARATION = re.compile(r"""/\*.*?\*/|"[^"]*"|'[^']*'|\([^)]*\)""", re.S)
-SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
+WIDE = re.compile("[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6\U0001f300-\U0001faff\U00020000-\U0003fffd]")
+COLUMNS, ROWS, WIDEST, DEEPEST = 1000, 1000, 60, 40  # spans; the widest padded column; the deepest indent
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -74,25 +79,70 @@ def invisible(attributes: str, svg: bool) -> bool:
 
 
 class Table:
+    """Rows of cells; a cell has its lines, the columns and the rows that it spans, and lists are filled as it ends."""
+
     def __init__(self, outer: Buffer) -> None:
-        self.outer, self.rows, self.before = outer, [], []
+        self.outer, self.before = outer, []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
 
-    def text(self) -> str:
-        """Rows with cells padded to the widest of their column."""
-        widths: list[int] = []
+    def grid(self) -> list[list[list[str]]]:
+        """Rows of the lines of each column; spanned places are empty. Spans end at column COLUMNS."""
+        held: dict[int, int] = {}  # rows still to leave empty by column
+        out = []
         for row in self.rows:
-            for i, (lines, _) in enumerate(row):
+            line: list[list[str]] = []
+
+            def skip(line: list = line) -> None:
+                while held.get(len(line)):
+                    held[len(line)] -= 1
+                    line.append([])
+
+            for lines, columns, rows in row:
+                skip()
+                columns = max(1, min(columns, COLUMNS - len(line)))
+                if rows > 1 and len(line) < COLUMNS:
+                    held |= dict.fromkeys(range(len(line), len(line) + columns), rows - 1)
+                line += [lines] + [[]] * (columns - 1)
+            skip()
+            out.append(line)
+        return out
+
+    def text(self, most: int) -> str:
+        """Rows with cells padded to the widest of their column; cells one after another where that takes over `most` blanks."""
+        rows, widths = self.grid(), []
+        for row, cells in zip(rows, self.rows, strict=True):
+            single = [n == 1 for _, n, _ in cells]
+            for i, lines in enumerate(row):
                 widths += [0] * (i + 1 - len(widths))
-                if len(row) == 1 or row[i][1] == 1:
-                    widths[i] = max([widths[i], *map(len, lines)])
+                if len(row) != len(cells) or single[i] or len(row) == 1:
+                    widths[i] = min(WIDEST, max([widths[i], *map(width, lines)]))
+        upto = [0]
+        for n in widths:
+            upto.append(upto[-1] + n + 2)
+        blanks = sum(upto[max((i for i, c in enumerate(row) if c), default=0)] * max(map(len, row), default=0) for row in rows)
         out = []
-        for row in self.rows:
-            for k in range(max([0, *(len(lines) for lines, _ in row)])):
-                cells = ((lines[k] if k < len(lines) else "").ljust(widths[i]) for i, (lines, _) in enumerate(row))
-                out.append("  ".join(cells).rstrip())
+        for row in rows:
+            if blanks > most:
+                out += [x for lines in row for x in lines]
+                continue
+            for k in range(max(map(len, row), default=0)):
+                cells = [(lines[k] if k < len(lines) else "") for lines in row]
+                out.append("  ".join(c + " " * (n - width(c)) for c, n in zip(cells, widths)).rstrip())
         return "\n".join([*self.before, *out])
 
 
+def width(text: str) -> int:
+    """Columns that a line takes: wide characters take two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return len(text) + len(WIDE.findall(text)) - sum(map(bool, map(combining, text)))
+
+
+def number(value: str | None, least: int, most: int) -> int | None:
+    found = re.match(r"\s*([+-]?[0-9]{1,9})", value or "")
+    return min(most, max(least, int(found[1]))) if found else None
+
+
 class Buffer:
     """Lines of text with collapsed white space. breaks: line ends due before the next word, 2 for a blank line."""
 
@@ -138,7 +188,8 @@ class Buffer:
 class Page:
     """Tree builder and renderer of one page."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = 0) -> None:
+        self.padding = 4 * size + 100_000  # blanks that may still go into tables
         self.open: list[tuple[str, bool]] = []  # (name, whether it is the element that hides)
         self.count: dict[str, int] = {}
         self.hidden, self.pre = 0, 0
@@ -147,7 +198,7 @@ class Page:
         self.tables: list[Table] = []
 
     def indent(self) -> str:
-        return "  " * len(self.lists)
+        return "  " * min(DEEPEST, len(self.lists))
 
     def start(self, name: str, attributes: str) -> None:
         if name in CLOSES_P and self.count.get("p"):
@@ -159,7 +210,7 @@ class Page:
         if svg and name in LEAVES_SVG and not self.count.get("foreignobject"):
             self.end("svg")
             svg = False
-        hides = name in HIDDEN or svg and name in SVG_HIDDEN or bool(attributes) and invisible(attributes, svg or name == "svg") or name == "input"
+        hides = name in HIDDEN or svg and name in SVG_HIDDEN or bool(attributes) and invisible(attributes, svg or name == "svg") or name == "input" or name == "dialog" and "open" not in parsed(attributes)
         if name in VOID:
             if not self.hidden and not hides:
                 if name == "br":
@@ -218,17 +269,20 @@ class Page:
             self.spill()
             if not self.tables[-1].rows:
                 self.tables[-1].rows.append([])
-            span = SPAN.search(attributes)
-            self.tables[-1].rows[-1].append(([], min(100, max(1, int(span[1]))) if span else 1))
+            said = parsed(attributes) if "span" in attributes.lower() else {}
+            self.tables[-1].rows[-1].append(([], number(said.get("colspan"), 1, COLUMNS) or 1, number(said.get("rowspan"), 1, ROWS) or 1))
         elif name in BLOCK:
             b.gap(2 if name in SPACED and not (name in ("ul", "ol") and self.lists) else 1)
             if name in ("ul", "ol", "menu"):
-                self.lists.append(0 if name == "ol" else None)
+                first = number(parsed(attributes).get("start"), -(10**9), 10**9) if name == "ol" and attributes else None
+                self.lists.append((1 if first is None else first) - 1 if name == "ol" else None)
             elif name == "li":
+                if self.lists and self.lists[-1] is not None and attributes and (own := number(parsed(attributes).get("value"), -(10**9), 10**9)) is not None:
+                    self.lists[-1] = own - 1
                 if self.lists and self.lists[-1] is not None:
                     self.lists[-1] += 1
                 mark = f"{self.lists[-1]}. " if self.lists and self.lists[-1] is not None else "- "
-                b.mark = "  " * max(0, len(self.lists) - 1) + mark
+                b.mark = "  " * min(DEEPEST, max(0, len(self.lists) - 1)) + mark
             elif name == "pre":
                 self.pre += 1
             elif name == "blockquote":
@@ -246,15 +300,15 @@ class Page:
 
     def leave(self, name: str) -> None:
         if name in ("td", "th") and self.tables and self.tables[-1].rows and self.tables[-1].rows[-1]:
-            lines, span = self.tables[-1].rows[-1][-1]
-            lines += self.buffer.text().split("\n")
-            self.tables[-1].rows[-1] += [([""], 1)] * (span - 1)
+            self.tables[-1].rows[-1][-1][0].extend(self.buffer.text().split("\n"))
             self.buffer = Buffer()
         elif name == "table" and self.tables:
             self.spill()
             table = self.tables.pop()
             self.buffer = table.outer
-            self.buffer.exact(table.text(), "")
+            text = table.text(self.padding)
+            self.padding -= max(0, len(text) - sum(len(x) for row in table.rows for lines, _, _ in row for x in lines))
+            self.buffer.exact(text, "")
             self.buffer.gap(2)
         elif name in BLOCK:
             if name in ("ul", "ol", "menu", "blockquote") and self.lists:
@@ -282,7 +336,7 @@ def render(page: str) -> str:
     """All visible text of a page."""
     if "\x00" in page:
         page = page.replace("\x00", "�")
-    p, at, n = Page(), 0, len(page)
+    p, at, n = Page(len(page)), 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
