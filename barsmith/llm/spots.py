@@ -1,8 +1,9 @@
 """Document fingerprints by spot signatures, in DataFrame expressions only.
 
-Method. A spot signature is a chain: one or more common words (anchors) and the two content words that follow them, anchors
-in between left out. The fingerprint of a text is the set of the hashes of its chains; a text without any chain has the
-hashes of its words instead. Likeness is the Jaccard index of two sets. `similar` finds all pairs of fingerprints that are
+Method. A spot signature is a chain: one or more anchors and the two content words that follow them, anchors in between left
+out. Anchors are common words, the start of the text and the ends of clauses and lines, so every text with a word has a chain,
+in any language and however short. The fingerprint of a text is the set of the 64-bit hashes of its chains. Likeness is the
+Jaccard index of two sets. `similar` finds all pairs of fingerprints that are
 alike enough: fingerprints are dealt by signature and class of set length, only sets whose lengths allow the threshold
 meet, only on signatures of their prefix in order of rarity, and the index is exact.
 
@@ -10,7 +11,7 @@ meet, only on signatures of their prefix in order of rarity, and the index is ex
 doc_id of about `per_range` rows; the first row of a range also goes, as a halo, to the range before it. Should ids lie so
 unevenly that ranges get too long, ranges are cut by rank instead.
 
-Cases. Null text: empty, empty fingerprint; two empty fingerprints have likeness 1, an empty and another 0. Null doc_id comes
+Cases. Null text: empty; a text without words has an empty fingerprint, two of those have likeness 1, one and another 0. Null doc_id comes
 last. Rows of equal doc_id go by the hash of their texts. A single row is its own next document. Empty table: empty result.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import doc_texts, written
 
+SUPER = 1 << 14  # ranges of a superrange
+
 # Anchors, common words of four languages.
 ANCHORS = """
 the a an of to in and is that for it was on with as be by at are this from
@@ -28,24 +31,30 @@ der die das den dem des ein eine und zu von mit sich auf für im ist nicht
 le la les un une du de et est que qui dans pour au par sur avec pas
 el los las una del y en se por con para su al lo es
 """.split()
-CHUNK = rf"(?:(?:{'|'.join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))})\x20)*+[^\x20]++"
+STOPS = r"[.!?;:\n。！？；]"
+
+
+def one_of(words: list[str]) -> str:
+    """A pattern for any of the words, by shared beginnings."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words) - {""}):
+        tails.setdefault(w[0], []).append(w[1:])
+    return "|".join(c + (f"(?:{one_of(t)}){'?' if '' in t else ''}" if t != [""] else "") for c, t in tails.items())
+
+
+CHUNK = rf"(?:(?:{one_of(ANCHORS)}|{STOPS})\x20++)*+[^\x20]++"
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct hashes of the chains of a text (array<int>)."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    chunks = F.regexp_extract_all(plain, F.lit(CHUNK), F.lit(0))  # anchors and one content word
+    """Sorted distinct hashes of the chains of a text (array<long>)."""
+    # Words and stops, blanks between them.
+    plain = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}]*?({STOPS})[^\p{{L}}\p{{N}}]*|[^\p{{L}}\p{{N}}]+", " $1 ")
+    chunks = F.regexp_extract_all(F.concat(F.lit(". "), F.trim(plain)), F.lit(CHUNK), F.lit(0))  # anchors and one content word
     following = F.slice(F.transform(chunks, lambda c: F.substring_index(c, " ", -1)), 2, 2**31 - 1)
-    chains = F.zip_with(chunks, following, lambda c, n: F.when(F.contains(c, F.lit(" ")) & n.isNotNull(), F.hash(c, n)))
+    chains = F.zip_with(chunks, following, lambda c, n: F.when(F.contains(c, F.lit(" ")), F.xxhash64(c, F.coalesce(n, F.lit("")))))
     return F.array_sort(F.array_distinct(F.array_compact(chains)))
 
 
-def with_words(found: Column, text: Column) -> Column:
-    """found, or the hashes of the words of a text that has no chain."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w)))))
-
-
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     """Jaccard index of two sets; 0 without a look at the members where their sizes rule `least` out."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
@@ -59,10 +68,9 @@ def fingerprint(found: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, spots (array<int>), fingerprint for each row of docs."""
-    text = F.coalesce("text", F.lit(""))
-    d = doc_texts(docs).select("doc_id", text.alias("text"), signatures(text).alias("spots"))
-    return d.select("doc_id", with_words(F.col("spots"), F.col("text")).alias("spots")).withColumn("fingerprint", fingerprint(F.col("spots")))
+    """doc_id, spots (array<long>), fingerprint for each row of docs."""
+    d = doc_texts(docs).select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("spots"))
+    return d.withColumn("fingerprint", fingerprint(F.col("spots")))
 
 
 def _ranges(docs: DataFrame, per_range: int) -> tuple[DataFrame, DataFrame, int]:
@@ -83,14 +91,19 @@ def _ranges(docs: DataFrame, per_range: int) -> tuple[DataFrame, DataFrame, int]
     return ranged, tops, wanted
 
 
-def edited(docs: DataFrame, per_range: int = 512, most_broadcast: int = 500_000) -> DataFrame:
+def edited(docs: DataFrame, per_range: int = 128, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     plain = doc_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     ranged, tops, n = _ranges(plain, per_range)
     # The halo: the top of a range follows the last row of the range before; that of the first range, the very last row.
-    order = Window.orderBy("range")
+    # Ranges are numbered in superranges, so that no task holds all of them.
+    parts = tops.withColumn("super", F.floor(F.col("range") / SUPER))
+    lasts = parts.groupBy("super").agg(F.max("range").alias("last"))
+    order = Window.orderBy("super")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    halo = tops.select(F.col("top"), F.coalesce(F.lag("range").over(order), F.last("range").over(whole)).alias("range"))
+    lasts = lasts.select(F.col("super").alias("_super"), F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("before"))
+    within = Window.partitionBy("super").orderBy("range")
+    halo = parts.join(lasts, F.col("super") == F.col("_super")).select("top", F.coalesce(F.lag("range").over(within), F.col("before")).alias("range"))
     small = F.broadcast(halo) if n <= most_broadcast else halo
     extra = plain.join(small, F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", "range", F.lit(True).alias("halo"))
     rows = ranged.select("doc_id", "text", "range", F.lit(False).alias("halo")).union(extra).withColumn("tie", F.xxhash64("text"))
@@ -99,7 +112,7 @@ def edited(docs: DataFrame, per_range: int = 512, most_broadcast: int = 500_000)
     k = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring(F.coalesce("next", F.lit("")), F.lit(1), k)))
     rows = rows.withColumns({"spots": signatures(F.col("text")), "edited_spots": signatures(F.when(F.col("halo"), "").otherwise(F.col("edited")))})
-    rows = rows.select("doc_id", "range", "halo", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), with_words(F.col("spots"), F.col("text")).alias("spots"), with_words(F.col("edited_spots"), F.col("edited")).alias("edited_spots"))
+    rows = rows.select("doc_id", "range", "halo", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "spots", "edited_spots")
     rows = rows.withColumn("next_spots", F.lead("spots").over(line)).filter(~F.col("halo"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
