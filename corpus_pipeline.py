@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, near duplicates, personal data, source mixture, sentence pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. `run` writes
-each stage's rows to the shared folder and goes on from there, so a lost executor costs one stage's tasks.
+each stage's rows to the shared folder and goes on from there, so a lost executor costs one stage's tasks. What else a stage
+wrote there is deleted once its rows are written.
 
 Cases. Rows without doc_id pass the first two stages by their own merit: a rejected one goes, none is a copy of another.
 Extra columns come through all stages but the last.
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import table, written
+from barsmith.llm.common import scratch, table
 from barsmith.llm.mixing import mixed
 from barsmith.llm.ngramjoin import near_duplicates
 from barsmith.llm.pieces import encoded
@@ -23,15 +24,19 @@ from barsmith.llm.quality import quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; of rows of one doc_id all go if any is rejected."""
-    rejected = quality(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    rejected = quality(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected"]), "left_anti")
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, once."""
-    copies = near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates: the one with the smallest doc_id, once.
+
+    Of rows of one doc_id those stay that are no copies of one another; without doc_id each row stays.
+    """
+    found = near_duplicates(docs)
+    copies = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("copy")).distinct()
+    stay = docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")
+    return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(stay.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
