@@ -1,21 +1,33 @@
-"""N-gram Jaccard join by MinHash LSH with fixed bands, and exact verification.
-
-Method. A text is the set of its runs of five words (a shorter text: one run of all its words). Its signature is
-`TREES * DEPTH` minima, DEPTH for each of the TREES bands. Two texts of similarity s share a prefix of k minima in a band
-with probability s**k, in one of the bands with 1 - (1 - s**k)**TREES; k is the largest number up to DEPTH at which that
-reaches the target recall at the threshold (1 if none does: at thresholds under about 0.3 recall is below the target). It is
-settled before any text is read. Texts under one prefix are candidates. Pairs of small groups pass a sieve on 256 bits
-of the signatures (which lets a pair at the threshold through but for a chance under 1e-9); in groups over `MOST` nothing
-is paired: their members hang on the smallest. The components of this graph are then verified exactly: all sets of a
-component meet in blocks of `BLOCK` members, and a task compares two blocks by a matrix product of shingle columns and
-returns counts and a spanning forest, never pairs.
+"""N-gram Jaccard join by a MinHash LSH forest, and exact verification.
+
+Method. A text is the set of its runs of five words (a shorter text: one run of all its words). Its signature has `TREES`
+labels of `DEPTH` minima of 16 bits each, one label for each prefix tree. A tree is the sorted table of its labels: texts that
+share a prefix of a label lie together. Two texts of similarity s share k minima of a label with probability s**k, in one
+of the trees with 1 - (1 - s**k)**TREES.
+
+The forest is searched as follows. `shortest` is the prefix at which even a pair at the threshold is met with the target recall
+(1 if none is: at thresholds under about 0.3 recall is below the target); a label that is alone under it leads nowhere and goes. A
+node with more than `MOST` labels is followed down until its parts are small; pairs of small nodes, with the length of the prefix
+that they share, pass a sieve on 256 bits of the signatures (which lets a pair at the threshold through but for a chance under
+1e-9). Matched prefixes then count from the full depth on and are shortened, a minimum at a time, until the estimated recall
+reaches the target: a pair met at length k stands for 1 / (1 - (1 - s**k)**TREES) pairs, met or not, so the pairs that have
+been met tell how many have not. Without any pair the shortest prefix is taken.
+
+Nodes that stay large at that length are crowds, made by near copies or by passages that many texts share. Their members are
+paired exactly by another way: of each member only the rarest runs count, as many as a partner of enough similarity cannot
+miss all of (`crowded`), so a shared passage, being frequent, brings nobody together.
+
+The components of the candidate graph are then verified exactly: all sets of a component meet in blocks (at most `BLOCK` members
+or about `BLOCK_BYTES`), and a task compares two blocks by a matrix product of run columns and returns counts and a spanning
+forest, never pairs.
 
 Result. One row for each row of docs: class_id, the smallest doc_id of the component of verified links; n_links, how many
 different texts are at least `least` similar to this one; n_copies, the rows with the very same text. Copies are one text
 from the first step on, so they cost nothing and give no pairs.
 
 Cases. Null text: empty; texts without words have no links and form a class of copies. Null doc_id: no class, 0 links. Rows
-of one doc_id are one document, linked to all that any of them is alike to. Empty table: empty result.
+of one doc_id and different texts are different texts, each with its own row. Empty table: empty result. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,14 +35,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import doc_texts, map_texts, texts_of, written
 from barsmith.llm.components import components
 
 WIDTH, TREES, DEPTH = 5, 32, 8
-MOST, BLOCK, SIEVE = 64, 512, 0.5
+MOST, BLOCK, BLOCK_BYTES, SIEVE = 64, 512, 1 << 24, 0.5
+BITS = TREES * DEPTH
 
 
 def shingles(text: str) -> np.ndarray:
@@ -72,47 +85,148 @@ def prefix_length(least: float, recall: float) -> int:
     return length
 
 
-def signatures(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, key (of the text), bands (a hash for each tree and prefix), sketch (a bit of each minimum)."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), size (of its set), labels (one for each tree), sketch (a bit of each minimum)."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, bands, sketches = [], [], []
+        keys, sizes, labels, sketches = [], [], [], []
         for text in texts_of(batch.column("text")):
             keys.append(xxhash.xxh3_128_hexdigest(text.encode()))
             found = shingles(text)
+            sizes.append(len(found))
             if not len(found):
-                bands.append(None)
+                labels.append(None)
                 sketches.append(None)
                 continue
             m = minima(found)
-            h = np.arange(TREES, dtype=np.uint64)
-            for k in range(length):
-                h = (h ^ m.reshape(TREES, DEPTH)[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(29)
-            bands.append(h.astype(np.int64))
-            sketches.append(np.packbits((m & 1).astype(bool)).view(np.int64))
-        lists = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(bands, lists), pa.array(sketches, lists)], ["doc_id", "key", "bands", "sketch"])
-
-    return map_texts(doc_texts(docs), of_batch, "doc_id long, key string, bands array<long>, sketch array<long>")
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between texts (id, bands, sketch) that share a prefix."""
-    each = texts.select("id", F.explode("bands").alias("band"))
-    groups = each.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1")
-    hits = written(each.join(groups, "band"), "hits")
-    large = hits.filter(F.col("n") > MOST).select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
-    # At most MOST members each; a group that comes back in other trees is paired once.
-    small = hits.filter(F.col("n") <= MOST).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, MOST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+            sorts = m.astype(np.uint16).astype(">u2").tobytes()  # as bytes they sort as the minima do
+            labels.append([sorts[i : i + 2 * DEPTH] for i in range(0, 2 * BITS, 2 * DEPTH)])
+            sketches.append(np.packbits((m >> 16 & 1).astype(bool)).view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary())), pa.array(sketches, pa.list_(pa.int64()))],
+            ["doc_id", "key", "size", "labels", "sketch"],
+        )
+
+    return map_texts(doc_texts(docs), of_batch, "doc_id long, key string, size long, labels array<binary>, sketch array<long>")
+
+
+def prefix(label: Column, length: int) -> Column:
+    return F.substring(label, 1, 2 * length)
+
+
+def forest(texts: DataFrame, shortest: int) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Leaves of small nodes (node, id, label), and the members (id) of nodes over MOST labels by prefix length.
+
+    Small nodes are the shallowest ones, from `shortest` on, with at most MOST labels.
+    """
+    each = texts.select("id", F.posexplode("labels").alias("tree", "label"))
+    rest, small, crowds = each.withColumn("node", F.xxhash64("tree", prefix(F.col("label"), shortest))), [], {}
+    for length in range(shortest, DEPTH + 1):
+        if length > shortest:
+            rest = rest.withColumn("node", F.xxhash64("tree", prefix(F.col("label"), length)))
+        sizes = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rest = written(rest.join(sizes, "node").select("node", "id", "tree", "label", "n"), "forest")
+        small.append(rest.filter(F.col("n") <= MOST).select("node", "id", "label"))
+        rest = rest.filter(F.col("n") > MOST).drop("n")
+        crowds[length] = rest.select("id").distinct()
+        if rest.isEmpty():
+            break
+    leaves = small[0]
+    for part in small[1:]:
+        leaves = leaves.union(part)
+    return leaves, crowds
+
+
+def apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with apart, the bits in which their sketches differ, those too far apart left out."""
     bits = texts.select("id", "sketch")
     both = pairs.join(bits.toDF("a", "a_sketch"), "a").join(bits.toDF("b", "b_sketch"), "b")
-    apart = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(TREES * DEPTH // 64))
-    # Minima of similarity s differ in (1 - s) / 2 of their last bits.
-    near = both.filter(apart <= int(TREES * DEPTH * (1 - SIEVE) / 2)).select("a", "b")
-    return near.union(large)
+    differ = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(BITS // 64))
+    # Minima of similarity s differ in (1 - s) / 2 of their bits.
+    return both.withColumn("apart", differ).filter(F.col("apart") <= int(BITS * (1 - SIEVE) / 2)).drop("a_sketch", "b_sketch")
+
+
+def met(leaves: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
+    """Pairs a < b of small nodes that pass the sieve, with shared, the longest prefix of any tree that they share."""
+    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m"))
+
+    def shared(x: Column, y: Column) -> Column:
+        found = F.lit(shortest)
+        for k in range(shortest + 1, DEPTH + 1):
+            found = F.when(prefix(x, k) == prefix(y, k), k).otherwise(found)
+        return found
+
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, MOST), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), shared(x["label"], y["label"]).alias("shared")))))
+    pairs = groups.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    return apart(pairs, texts)
+
+
+def settled(pairs: DataFrame, least: float, recall: float, shortest: int) -> int:
+    """The longest prefix, from DEPTH down, at which the estimated recall reaches the target; else the shortest."""
+    # Similarity as the sketch tells it, less a standard error, within the threshold and 1.
+    near = F.greatest(F.lit(least), 1 - F.col("apart") * (2 / BITS) - 0.04)
+    sums = []
+    for k in range(shortest, DEPTH + 1):
+        miss = F.pow(1 - F.pow(near, F.lit(k)), F.lit(TREES))
+        here = F.col("shared") >= k
+        sums += [F.count(F.when(here, 1)).alias(f"met_{k}"), F.sum(F.when(here, miss / (1 - miss))).alias(f"missed_{k}")]
+    got = pairs.filter(1 - F.col("apart") * (2 / BITS) >= least).agg(*sums).first()
+    for k in range(DEPTH, shortest, -1):
+        found, missed = got[f"met_{k}"], got[f"missed_{k}"]
+        if found and missed <= (1 - recall) * (found + missed):
+            return k
+    return shortest
+
+
+def sets_of(docs: DataFrame, members: DataFrame, schema: str, extra: list[str]) -> DataFrame:
+    """id, set (sorted hashes of runs) and the columns `extra` of members (id, doc, key, ...)."""
+    # Always by shuffle: members grow with the input, so what a small table does must hold for a large one.
+    texts = doc_texts(docs).join(members.hint("merge"), F.col("doc_id") == F.col("doc")).select("key", "id", *extra, "text")
+
+    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keys = texts_of(batch.column("text")), batch.column("key").to_pylist()
+        own = [xxhash.xxh3_128_hexdigest(t.encode()) == k for t, k in zip(texts, keys, strict=True)]  # a doc_id may have several texts
+        kept = batch.filter(pa.array(own))
+        found = pa.array([shingles(t).view(np.int64) for t, ok in zip(texts, own, strict=True) if ok], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("id", *extra)), found], ["id", *extra, "set"])
+
+    return map_texts(texts, to_sets, f"id long, {schema}set array<long>")
+
+
+def crowded(docs: DataFrame, members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join all members (id, doc, key) of crowds with similarity >= least.
+
+    A partner shares at least ceil(least * size) runs of a member, so it shares one of any size - ceil(least * size) + 1 of them;
+    taken are the rarest. Runs that are nobody else's come first in that order and bring no partner. Members of one rare run
+    are paired and sieved; where it has more than MOST members, they hang on the smallest.
+    """
+    # A doc_id may hold its text more than once.
+    sets = written(sets_of(docs, members, "", []).dropDuplicates(["id"]), "sets")
+    each = sets.select("id", F.size("set").alias("size"), F.explode("set").alias("run"))
+    held = each.groupBy("run").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    ranked = each.join(held, "run").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("held", "run"))).alias("runs"))
+    take = F.greatest(F.lit(0), F.size("runs") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)
+    rare = written(ranked.select("id", F.explode(F.slice("runs", F.lit(1), take)).alias("r")).select("id", F.col("r.run").alias("run")), "rare")
+    groups = rare.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1")
+    stars = rare.join(groups.filter(F.col("n") > MOST), "run").select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
+    small = rare.join(groups.filter(F.col("n") <= MOST), "run").groupBy("run").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, MOST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return apart(pairs, texts).select("a", "b").union(stars)
+
+
+def candidates(docs: DataFrame, texts: DataFrame, least: float, recall: float) -> DataFrame:
+    """Edges (a, b) between texts (id, doc, key, labels, sketch) whose components hold all links."""
+    shortest = prefix_length(least, recall)
+    leaves, crowds = forest(texts, shortest)
+    pairs = written(met(leaves, texts, shortest), "met")
+    length = settled(pairs, least, recall, shortest)
+    edges = pairs.filter(F.col("shared") >= length).select("a", "b")
+    crowd = crowds.get(length)
+    if crowd is None or crowd.isEmpty():
+        return edges
+    members = crowd.join(texts.select("id", "doc", "key"), "id")
+    return edges.union(crowded(docs, members, texts, least))
 
 
 def compare(ids: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,18 +259,12 @@ def compare(ids: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[n
 
 
 def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(id, links, root) from exact comparison within components; members: (id, component)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    placed = placed.select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    # Always by shuffle: members grow with the input, so what a small table does must hold for a large one.
-    texts = doc_texts(docs).join(placed.hint("merge"), F.col("doc_id") == F.col("id"))
-
-    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t).tobytes() for t in texts_of(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "component", "blocks", "block")), pa.array(sets, pa.binary())], ["id", "component", "blocks", "block", "set"])
-
-    sets = map_texts(texts.select("id", "component", "blocks", "block", "text"), to_sets, "id long, component long, blocks long, block long, set binary")
+    """(id, links, root) from exact comparison within components; members: (id, doc, key, size, component)."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("runs"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("runs") * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
+    placed = members.join(sizes, "component").withColumn("blocks", blocks)
+    placed = placed.select("id", "doc", "key", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    sets = sets_of(docs, placed, "component long, blocks long, block long, ", ["component", "blocks", "block"])
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
 
@@ -164,7 +272,7 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
         ids, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
         ids, at = np.unique(ids, return_index=True)
         data = rows.column("set")
-        found = [np.frombuffer(data[int(i)].as_py(), np.uint64) for i in at]
+        found = [data[int(i)].values.to_numpy().view(np.uint64) for i in at]
         links, root = compare(ids, block[at] == rows.column("low")[0].as_py(), block[at] == rows.column("high")[0].as_py(), found, least)
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
@@ -172,18 +280,33 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return sets.groupBy("component", "low", "high").applyInArrow(check, "id long, links long, root long")
 
 
+def different(known: DataFrame) -> DataFrame:
+    """A row for each different text: key, doc (the smallest doc_id), n_copies, size, labels, sketch, and id.
+
+    The id is doc, or a hash of the key where another text has the same doc.
+    """
+    texts = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("size", "labels", "sketch")))
+    texts = written(texts, "texts")
+    twins = texts.groupBy("doc").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("twin"), "first")
+    named = texts.join(written(twins, "twins"), F.col("doc") == F.col("twin"), "left")
+    return named.withColumn("id", F.when(F.col("first") < F.col("key"), F.xxhash64("key")).otherwise(F.col("doc"))).drop("twin", "first")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, recall: float = 0.99999) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each row of docs."""
-    rows = written(signatures(docs, prefix_length(least, recall)), "signatures")
-    known = rows.filter("doc_id IS NOT NULL")
-    texts = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    texts = written(texts, "texts")
-    loose = components(candidates(texts.filter("bands IS NOT NULL")), "loose")
+    rows = written(signatures(docs), "signatures")
+    texts = different(rows.filter("doc_id IS NOT NULL"))
+    loose = components(candidates(docs, texts.filter("labels IS NOT NULL"), least, recall), "loose")
     members = loose.select("id", F.col("root").alias("component")).union(loose.select("root", "root").distinct())
+    members = members.join(texts.select("id", "doc", "key", "size"), "id")
     found = written(verified(docs, written(members, "members"), least), "links")
     tight = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "tight")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = texts.select("key", "id", "n_copies").join(links, "id", "left").join(tight, "id", "left")
-    classes = classes.select(F.col("key").alias("_key"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    classes = texts.select("key", "id", "doc", "n_copies").join(links, "id", "left").join(tight, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = written(classes, "classes")
+    # The id of a root may be a hash: a class is named by its smallest doc_id.
+    names = classes.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("named"), "class_id")
+    classes = classes.join(names, F.col("root") == F.col("named"), "left")
+    classes = classes.select(F.col("key").alias("_key"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
