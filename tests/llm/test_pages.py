@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from barsmith.llm import warc
 from barsmith.llm.common import work_dir
 from barsmith.llm.html import page_texts, render
@@ -38,6 +40,43 @@ def test_archives(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_broken_archives(spark):
+    """A lost end, a lost or misplaced segment and a changed byte raise; segments of two records may alternate."""
+    payloads = {1: b"a" * 2500, 2: b"b" * 2500}
+    texts = {i: list(warc.records(i, "u", memoryview(x), hashlib.sha256(x).hexdigest(), None, False, 1000, "2020-01-01T00:00:00Z")) for i, x in payloads.items()}
+
+    def rows(records):
+        reader = warc.Reader(True)
+        for line in "\n".join(records).split("\n"):
+            reader.line(line)
+        reader.close()
+        return reader.rows
+
+    mixed = [x for pair in zip(texts[1], texts[2], strict=True) for x in pair]
+    got = [r for r in rows(mixed) if r[8]]
+    assert [(r[1], r[6], r[7], r[9]) for r in got] == [(i, 2500, hashlib.sha256(x).hexdigest(), True) for i, x in payloads.items()]
+    for broken in (texts[1][:-1], texts[1][1:], [texts[1][0], texts[1][2], texts[1][1]], [texts[1][0][:-200]], [*texts[1][:2], texts[1][2][:-100]]):
+        with pytest.raises(ValueError):
+            rows(broken)
+    assert not rows([x.replace("aaab", "aaac").replace("a\r\n\r", "c\r\n\r") for x in texts[1]])[-1][9]
+    path = work_dir(spark, "warc")
+    spark.createDataFrame([(x.replace("a\r\n\r", "c\r\n\r"),) for x in texts[1]], "value string").coalesce(1).write.option("compression", "gzip").text(path)
+    with pytest.raises(Exception, match="not intact"):
+        warc.page_records(warc.read_archives(spark, path)).collect()
+
+
+def test_spans_numbers_widths_and_bounds():
+    rows = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>日本語<td>x<td>y<tr><td colspan=2>wide<td>z</table>"
+    assert render(rows).split("\n") == ["a       b  c", "        d  e", "日本語  x  y", "wide       z"]
+    assert render("<ol start=5><li>a<li>b<li value=9>c<li>d</ol>") == "5. a\n6. b\n9. c\n10. d"
+    assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    for page in (
+        "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>", "<ul><li>" * 6000 + "x", "<table>" + "<tr><td colspan=1000>a<td>b" * 2000 + "</table>",
+        "<table><tr>" + "<td rowspan=1000>a" * 3000 + "<tr><td>q" * 1000, "<table><tr><td>x<td>y<td>" * 300 + "<br>z" * 50, "<table><tr>" + "<td>" * 999 + "<td>" + "z<br>" * 10_000,
+    ):
+        assert len(render(page)) < 6 * len(page) + 200_000
+
+
 def test_layout():
     table = "<table><tr><th>Name<th>Qty<tr><td>apple pie<td>3<tr><td colspan=2>all<tr><td>x<td>12</table>"
     assert render(table).split("\n") == ["Name       Qty", "apple pie  3", "all", "x          12"]
