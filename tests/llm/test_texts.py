@@ -276,6 +276,66 @@ def test_prefixes_shorten_until_the_recall():
     assert ngramjoin.prefix_length(0.8, 0.9) > k
 
 
+def pairs_apart(rng, n, edits):
+    """n pairs of texts of 120 words, the second with so many words changed; words of different pairs differ."""
+    out = []
+    for i in range(n):
+        w = [f"p{i}w{rng.randrange(200)}" for _ in range(120)]
+        v = list(w)
+        for k in rng.sample(range(6, 115, 6), edits):
+            v[k] = "changed" + str(k)
+        out += [" ".join(w), " ".join(v)]
+    return out
+
+
+def test_forest_adapts_to_what_it_meets(docs_of):
+    """Prefixes stay long among close pairs, get shorter near the threshold, and reach the recall asked for."""
+    rng = random.Random(12)
+    close, far = pairs_apart(rng, 80, 1), pairs_apart(rng, 150, 2)  # similarities about 0.92 and 0.84
+    lengths = {}
+    for name, texts in (("close", close), ("far", far), ("none", [])):
+        rows = [(i, x, "en", "a") for i, x in enumerate(texts)]
+        texts_ = ngramjoin.different(ngramjoin.signatures(docs_of(rows)))
+        for recall in (0.9, 0.99999):
+            shortest = ngramjoin.prefix_length(0.8, recall)
+            leaves, crowds = ngramjoin.forest(texts_, shortest)
+            met = ngramjoin.met(leaves, texts_, shortest)
+            lengths[name, recall] = ngramjoin.settled(met, 0.8, recall, shortest)
+            assert all(c.count() == 0 for c in crowds.values())
+    assert lengths["close", 0.99999] > lengths["far", 0.99999] >= ngramjoin.prefix_length(0.8, 0.99999) == lengths["none", 0.99999]
+    rows = [(i, x, "en", "a") for i, x in enumerate(far)]
+    for recall in (0.9, 0.99999):
+        got = {r.doc_id: r.n_links for r in ngramjoin.near_duplicates(docs_of(rows), recall=recall).collect()}
+        want = {r[0]: r[2] for r in near(rows)}
+        assert sum(got.values()) >= recall * sum(want.values()) > 100
+
+
+def test_common_passage_makes_no_crowd(docs_of, monkeypatch):
+    """Texts that share a passage, and nothing else, fall into large nodes but are no candidates; their copies are found."""
+    rng = random.Random(13)
+    passage = " ".join(f"common{i}" for i in range(80))
+    texts = [passage + " " + " ".join(f"t{i}w{rng.randrange(10**6)}" for _ in range(50)) for i in range(120)]
+    texts += [texts[i].rsplit(" ", 2)[0] for i in range(10)]
+    rows = [(i, x, "en", "a") for i, x in enumerate(texts)]
+    monkeypatch.setattr(ngramjoin, "MOST", 8)
+    docs = docs_of(rows)
+    texts_ = ngramjoin.different(ngramjoin.signatures(docs))
+    _, crowds = ngramjoin.forest(texts_, 5)
+    assert crowds[5].count() > 20
+    edges = {(min(r.a, r.b), max(r.a, r.b)) for r in ngramjoin.candidates(docs, texts_, 0.8, 0.99999).collect()}
+    assert {(i, 120 + i) for i in range(10)} <= edges and len(edges) < 40
+    assert Counter(map(tuple, ngramjoin.near_duplicates(docs).collect())) == near(rows)
+
+
+def test_two_texts_of_one_doc_id(docs_of):
+    """Each text of a doc_id has its own links; classes are named by their smallest doc_id."""
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, one, "en", "a"), (5, two, "en", "a"), (3, two + " end", "en", "a"), (9, one + " end", "en", "a"), (5, two, "en", "a")]
+    got = Counter(map(tuple, ngramjoin.near_duplicates(docs_of(rows)).collect()))
+    assert got == Counter([(5, 5, 1, 1), (9, 5, 1, 1), (3, 3, 1, 1), (5, 3, 1, 2), (5, 3, 1, 2)])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
