@@ -2,11 +2,14 @@
 
 All work on one frame from `framed`, so a set of indicators costs one shuffle. Values are NULL until enough bars exist.
 Smoothed averages e[t] = (1 - a) e[t-1] + b[t] are sums of b[s] (1 - a)^(t-s); within a block that is a running sum, and
-what lies before the halo weighs less than a double can hold.
+what lies before the halo weighs less than a double can hold. Where the powers of a short average would not fit a double over a
+block, the last values that still count are folded instead.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from barsmith.operators.bars import BLOCK, KEYS, block_window, blocked, in_block
 
 HALO = 1152  # bars: two smoothings of 1/14 forget their start in it
 AHEAD = 10
+MOST_POWER = 600.0  # exponent of e that powers of a running sum may reach
 
 
 def framed(bars: DataFrame) -> DataFrame:
@@ -38,7 +42,12 @@ def before(column: str, n: int = 1) -> Column:
 
 
 def smoothed(b: Column, a: float) -> Column:
-    """Running sum that solves e[t] = (1 - a) e[t-1] + b[t] in a block."""
+    """e[t] = (1 - a) e[t-1] + b[t] in a block, as a running sum, or for short averages as a fold of the last values."""
+    if a >= 1:
+        return b
+    if -math.log(1 - a) * (HALO + BLOCK + AHEAD) > MOST_POWER:
+        last = F.collect_list(b).over(_rows(math.ceil(math.log(1e-18) / math.log(1 - a))))
+        return F.aggregate(last, F.lit(0.0), lambda e, x: e * (1 - a) + x)
     k = F.col("_place")
     w = block_window().rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(b * F.pow(F.lit(1 - a), -k)).over(w) * F.pow(F.lit(1 - a), k)

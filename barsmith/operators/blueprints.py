@@ -60,6 +60,16 @@ def combinations(counts: DataFrame) -> DataFrame:
     )
 
 
+def with_definitions(strategies: DataFrame) -> DataFrame:
+    """Typed columns from the text columns sl_def and tp_def: a number is a ratio, other text a level."""
+    for side in ("sl", "tp"):
+        if f"{side}_def" in strategies.columns:
+            text = F.trim(F.col(f"{side}_def").cast("string"))
+            ratio = F.expr(f"try_cast(trim(cast({side}_def as string)) as double)")
+            strategies = strategies.withColumns({f"{side}_ratio": ratio, f"{side}_level": F.when(ratio.isNull() & (text != ""), text)}).drop(f"{side}_def")
+    return strategies
+
+
 def write_targets(found: DataFrame, path: str) -> None:
     """All targets as one table, rows of a key together and in time order."""
     found.repartition("key").sortWithinPartitions("key", "entry_time").write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from barsmith.operators.bars import KEYS, with_costs
 from barsmith.operators.barriers import exits
 from barsmith.operators.rules import matches
 
-STRATEGY = ["strategy_id", "market_rule", "trade_type", "type", "sl_level", "sl_ratio", "sl_bin", "tp_level", "tp_ratio", "tp_bin"]
+STRATEGY = ["strategy_id", "timeframe", "market_rule", "trade_type", "type", "sl_level", "sl_ratio", "sl_bin", "tp_level", "tp_ratio", "tp_bin"]
 
 
 def with_ids(strategies: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def top_per_rule(strategies: DataFrame, n: int) -> DataFrame:
 
 
 def signals(strategies: DataFrame, features: DataFrame, rule_features: list[str]) -> DataFrame:
-    """(strategy, market, bar): the bars that meet the strategy's rule, with close, regimes and levels by name."""
+    """(strategy, market, bar): the bars that meet the strategy's rule, with close, regimes and levels by name.
+
+    A strategy with a timeframe is tried on the markets of that timeframe alone.
+    """
     hit = matches(strategies, features, rule_features)
     levels = [c for c in LEVELS if c in features.columns]
     by_name = F.create_map(*(x for c in levels for x in (F.lit(c), F.col(c).cast("double")))) if levels else F.create_map().cast("map<string,double>")
     regimes = [c for c in ("session", "trend_regime_14", "vol_regime_14") if c in features.columns]
     bars = features.select(*KEYS, "idx", "n_bars", "close", by_name.alias("levels"), *regimes)
-    return strategies.select(*(c for c in STRATEGY if c in strategies.columns)).join(hit, "market_rule").join(bars, [*KEYS, "idx"])
+    return strategies.select(*(c for c in STRATEGY if c in strategies.columns)).join(hit, ["market_rule", "timeframe"] if "timeframe" in strategies.columns else "market_rule").join(bars, [*KEYS, "idx"])
 
 
 def orders(found: DataFrame, costs: DataFrame) -> DataFrame:

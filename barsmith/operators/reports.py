@@ -30,6 +30,10 @@ def ranked(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("validation_markets_passed_count"), F.desc("avg_sharpe_ratio"), "strategy_id")
 
 
+def by_sharpe(report: DataFrame) -> DataFrame:
+    return report.orderBy(F.desc("sharpe_ratio"), "strategy_id")
+
+
 def master_view(validation: DataFrame, mastery: DataFrame) -> DataFrame:
     """Summaries with the strategy's results on its first market (NULL without), profit factors capped at 100, Sharpe at 10."""
     m = mastery.select("strategy_id", *(F.col(c).alias(f"mastery_{c}") for c in METRICS))

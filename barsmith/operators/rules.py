@@ -130,10 +130,18 @@ def leaf_rules(leaves: DataFrame, splits: DataFrame, cuts: dict[str, list[float]
     return joined.select("key", "market_rule", "n_candles", "avg_density")
 
 
-def mined(rows: DataFrame, features: list[str], depth: int = 7, least: int = 50, lift: float = 1.5, known: DataFrame | None = None, bins: int = 32) -> DataFrame:
+def by_key(rules: DataFrame) -> DataFrame:
+    """(key, rules): the different rules of each key as a sorted array, for display."""
+    return rules.groupBy("key").agg(F.sort_array(F.collect_set("market_rule")).alias("rules"))
+
+
+def mined(
+    rows: DataFrame, features: list[str], depth: int = 7, least: int = 50, lift: float = 1.5, known: DataFrame | None = None, bins: int = 32, cuts: dict[str, list[float]] | None = None
+) -> DataFrame:
     """Rules of leaves with density >= lift times the key's baseline (mean over its training rows), known rules left out.
 
     rows: key, KEYS, entry_time, trade_count, features. known: (key, market_rule), whose bars count as 0.
+    cuts: split values of each feature, else quantiles.
     """
     base = rows.groupBy("key").agg(F.avg("trade_count").alias("baseline"))
     used = rows
@@ -141,7 +149,7 @@ def mined(rows: DataFrame, features: list[str], depth: int = 7, least: int = 50,
         found = matches(known, rows.select(*KEYS, F.col("entry_time").alias("time"), F.lit(0).alias("idx"), *features).distinct(), features)
         hits = known.join(found, "market_rule").withColumnRenamed("time", "entry_time")
         used = without_known(rows, hits)
-    cuts = thresholds(rows, features, bins)
+    cuts = cuts or thresholds(rows, features, bins)
     leaves, splits = grow(used, cuts, depth, least)
     rules = leaf_rules(leaves, splits, cuts).join(base, "key").filter("baseline > 0 AND avg_density >= baseline * " + repr(float(lift))).drop("baseline")
     return rules.join(known.select("key", "market_rule"), ["key", "market_rule"], "left_anti") if known is not None else rules

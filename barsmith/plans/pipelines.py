@@ -10,11 +10,9 @@ from barsmith.functions.patterns import patterns
 from barsmith.functions.positioning import enriched, price_relative
 from barsmith.functions.preprocess import one_hot, pattern_scores, scaled, scaler
 from barsmith.operators import bars as b
-from barsmith.operators import blueprints as bp
 from barsmith.operators import evaluate as ev
-from barsmith.operators import reports, rules
+from barsmith.operators import reports
 from barsmith.operators.barriers import barrier_outcomes, with_exit_time
-from barsmith.sources.state import append_distinct, upsert_last
 
 
 def outcomes(indexed: DataFrame, minutes: int) -> DataFrame:
@@ -24,9 +22,12 @@ def outcomes(indexed: DataFrame, minutes: int) -> DataFrame:
     return with_exit_time(won, indexed)
 
 
-def features(indexed: DataFrame, warmup: int = 200, scheme: str = "six") -> DataFrame:
-    """All indicators, patterns, sessions and regimes of indexed bars, from bar `warmup` on: one shuffle for the windows."""
-    f = ind.framed(indexed)
+def features(indexed: DataFrame, warmup: int = 200, scheme: str = "six", least: int = 0) -> DataFrame:
+    """All indicators, patterns, sessions and regimes of indexed bars, from bar `warmup` on: one shuffle for the windows.
+
+    Markets of fewer than `least` bars are left out.
+    """
+    f = ind.framed(indexed.filter(F.col("n_bars") >= least))
     for step in (ind.sma, ind.ema, ind.bollinger, ind.rsi, ind.macd, ind.atr, ind.adx, ind.roc, ind.cci, ind.price_action, ind.regimes, ind.pivots, patterns):
         f = step(f)
     f = ind.support_resistance(ind.done(f))
@@ -49,19 +50,6 @@ def learning_table(feats: DataFrame, fit_on: str | None = None) -> DataFrame:
     return scaled(f, plain, b.KEYS, fit)
 
 
-def discovered(counts: DataFrame, table: DataFrame, features: list[str], blacklist: DataFrame, spent: DataFrame, done: DataFrame, least: int = 100, **grow) -> tuple[DataFrame, DataFrame]:
-    """(strategies, exhausted keys): new blueprints, then those with feedback and without their known rules."""
-    combos, targets = bp.combinations(counts), bp.targets(counts)
-    rows = rules.training(targets, table)
-    new = rules.to_learn(combos, done, spent, least).select("key")
-    again = rules.to_relearn(combos, blacklist, spent, least).select("key")
-    first = rules.mined(rows.join(new, "key", "left_semi"), features, **grow)
-    second = rules.mined(rows.join(again, "key", "left_semi"), features, known=blacklist.filter("market_rule IS NOT NULL"), **grow)
-    found = upsert_last(first, second, ["key", "market_rule"])
-    tried = new.unionByName(again)
-    return found, append_distinct(spent.select("key"), rules.exhausted(tried, found), ["key"])
-
-
 def backtest(strategies: DataFrame, feats: DataFrame, indexed: DataFrame, costs: DataFrame, rule_features: list[str], look_ahead: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(trade log, report with regime maps) of all strategies on all markets given."""
     found = ev.signals(strategies, feats, rule_features)

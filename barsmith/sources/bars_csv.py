@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.sources.state import upsert_last
+
 REPORT_OPTIONS = {"header": True, "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
 
 
@@ -31,7 +33,7 @@ def read_bars(spark: SparkSession, path: str, sep: str = ",", mode: str = "drop"
     bars = raw.select(
         F.upper(F.regexp_replace(F.regexp_extract("name", pattern, 1), "_", "")).alias("instrument"), F.regexp_extract("name", pattern, 2).cast("int").alias("timeframe"),
         parsed("time", "timestamp").alias("time"), *(parsed(c, "double").alias(c) for c in ("open", "high", "low", "close")),
-        F.coalesce(F.expr("try_cast(volume as double)"), F.lit(1.0)).alias("volume"),
+        (F.when(F.coalesce("volume", F.lit("")) == "", 1.0).otherwise(F.col("volume").cast("double")) if mode == "fail" else F.coalesce(F.expr("try_cast(volume as double)"), F.lit(1.0))).alias("volume"),
     )
     return bars if mode == "fail" else bars.dropna(subset=["time", "open", "high", "low", "close"])
 
@@ -41,6 +43,12 @@ def write_partitioned(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").partitionBy("instrument", "timeframe").parquet(path)
 
 
+def downcast(frame: DataFrame) -> DataFrame:
+    """Doubles as floats and longs as integers, for a sink; a long that does not fit raises."""
+    narrow = {"double": "float", "bigint": "int"}
+    return frame.withColumns({c: F.col(c).cast(narrow[t]) for c, t in frame.dtypes if t in narrow})
+
+
 def same_timeframe(bars: DataFrame, minutes: int) -> DataFrame:
     return bars.filter(F.col("timeframe") == minutes)
 
@@ -56,6 +64,11 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(**REPORT_OPTIONS).csv(path)
 
 
+def updated_report(old: DataFrame, new: DataFrame, path: str, on: list[str]) -> None:
+    """Old and new rows of a report, of each key the new one, as a report in a folder of its own: path is not what old reads."""
+    write_report(upsert_last(old, new, on), path)
+
+
 def headings(spark: SparkSession, path: str) -> list[str]:
     return spark.read.parquet(path).columns
 

@@ -84,7 +84,7 @@ def upsert_last(old: DataFrame, new: DataFrame, on: list[str], tie: list[Column]
 def append_distinct(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     """Rows of both, of each key the one that was there first."""
     both = old.withColumn("_run", F.lit(0)).unionByName(new.withColumn("_run", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (*on, "_run")]
+    rest = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in both.dtypes if c not in (*on, "_run")]
     if not rest:
         return both.select(*on).distinct()
     w = Window.partitionBy(*on).orderBy("_run", *rest)

@@ -148,3 +148,31 @@ def test_duplicates_presets_and_costs(spark):
     assert [r.spread_pips for r in got] == [2.5, 20.0]
     assert spark.range(1).select(b.spread_cost(F.lit("XAUUSD"))).first()[0] == pytest.approx(0.2)
     assert math.isclose(spark.range(1).select(b.spread_cost(F.lit("AAA"))).first()[0], 0.0003)
+
+
+def test_short_averages_over_blocks(spark):
+    """Averages of few bars, whose powers do not fit a double over a block, equal the fold over 3,000 bars."""
+    import random
+    from datetime import datetime, timedelta
+
+    from barsmith.functions import indicators as ind
+
+    rng, n = random.Random(3), 3000
+    close = [rng.uniform(1, 500) for _ in range(n)]
+    rows = [("A", 60, datetime(2024, 1, 1) + timedelta(hours=i), i, n, c) for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "instrument string, timeframe int, time timestamp, idx long, n_bars long, close double")
+    f = ind.ema(ind.framed(bars), (1, 2, 3, 4, 5, 6, 8))
+    for k in (1, 2, 3, 4):
+        f = ind.wilder_of(f, "close", k, f"wilder_{k}", 0)
+    got = ind.done(f).orderBy("idx").collect()
+    assert len(got) == n
+    for p in (1, 2, 3, 4, 5, 6, 8):
+        e = close[0]
+        for i, c in enumerate(close):
+            e += (c - e) * 2 / (p + 1)
+            assert i < p - 1 or abs(got[i][f"EMA_{p}"] - e) < 1e-8, (p, i)
+    for k in (1, 2, 3, 4):
+        e = sum(close[:k]) / k
+        for i in range(k - 1, n):
+            e = e + (close[i] - e) / k if i >= k else e
+            assert abs(got[i][f"wilder_{k}"] - e) < 1e-8, (k, i)

@@ -138,3 +138,72 @@ def test_mastery_and_views(spark):
     view = {r.strategy_id: r for r in reports.master_view(reports.summary(rep), first).collect()}
     assert view["a"].avg_profit_factor == 100.0 and view["a"].validation_markets_passed == "2/2" and view["b"].mastery_profit_factor == 1.5
     assert reports.by_market(first, rep).filter("phase = 'mastery'").count() == 2
+
+
+def test_strategies_meet_markets_of_their_timeframe(spark):
+    data = [(i, t, START + timedelta(minutes=t * k), k, 10, float(k), 50.0) for i in "AB" for t in (15, 60) for k in range(10)]
+    feats = spark.createDataFrame(data, "instrument string, timeframe int, time timestamp, idx long, n_bars long, close double, rsi double")
+    rows = [("k1", "`rsi` > 10.0", 60), ("k2", "`rsi` > 10.0", 15), ("k3", "`rsi` > 90.0", 60)]
+    mine = ev.with_ids(spark.createDataFrame(rows, "key string, market_rule string, timeframe int"))
+    got = ev.signals(mine, feats, ["rsi"]).groupBy("strategy_id", "timeframe").count().collect()
+    assert {(r.strategy_id[:2], r.timeframe): r["count"] for r in got} == {("k1", 60): 20, ("k2", 15): 20}
+    assert ev.signals(mine.drop("timeframe"), feats, ["rsi"]).count() == 80
+
+
+def test_definitions_and_rules_by_key(spark):
+    from barsmith.operators import blueprints as bp
+
+    typed = bp.with_definitions(spark.createDataFrame([("0.05", "SMA_20"), (" 1e-2 ", None), ("", "x")], "sl_def string, tp_def string")).collect()
+    assert [(r.sl_ratio, r.sl_level, r.tp_ratio, r.tp_level) for r in typed] == [(0.05, None, None, "SMA_20"), (0.01, None, None, None), (None, None, None, "x")]
+    found = rules.by_key(spark.createDataFrame([("a", "r2"), ("a", "r1"), ("a", "r2"), ("b", None)], "key string, market_rule string"))
+    assert {r.key: r.rules for r in found.collect()} == {"a": ["r1", "r2"], "b": []}
+
+
+def test_reports_go_to_new_paths(spark, tmp_path):
+    schema = "strategy_id string, sharpe_ratio double"
+    old, new = spark.createDataFrame([("a", 1.0), ("b", 2.0)], schema), spark.createDataFrame([("b", float("inf")), ("c", -1.0)], schema)
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    bars_csv.write_report(old, one)
+    bars_csv.updated_report(bars_csv.read_report(spark, one, schema), new, two, ["strategy_id"])
+    got = reports.by_sharpe(bars_csv.read_report(spark, two, schema)).collect()
+    assert [(r.strategy_id, r.sharpe_ratio) for r in got] == [("b", float("inf")), ("a", 1.0), ("c", -1.0)]
+    small = bars_csv.downcast(spark.createDataFrame([(1, 0.5, "x")], "n long, v double, t string"))
+    assert small.dtypes == [("n", "int"), ("v", "float"), ("t", "string")]
+
+
+def test_work_folders(spark):
+    frame = spark.range(3)
+    with state.scratch(spark) as keep:
+        lost, kept = state.written(frame, "lost"), keep(frame, "kept")
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(lost.inputFiles()[0]).count()
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "x"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        state.checkpoint_root(Cluster())
+
+
+def test_discovery_goes_on(spark):
+    """Known rules are not found again, keys without a new rule are exhausted, processed keys stay processed."""
+    from barsmith.plans import runs
+
+    rng = random.Random(8)
+    data = [(k, "A", 60, START + timedelta(hours=i), 5 if k != "flat" and x > 0.5 else 1, x) for k in ("new", "old", "flat", "spent") for i in range(300) for x in [rng.random()]]
+    rows = spark.createDataFrame(data, "key string, instrument string, timeframe int, entry_time timestamp, trade_count int, x double")
+    combos = rows.groupBy("key").count().withColumnRenamed("count", "num_candles")
+    none = spark.createDataFrame([], "key string, market_rule string, n_candles long, avg_density double")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    grow = {"depth": 1, "cuts": {"x": [0.25, 0.5, 0.75]}, "lift": 1.2}
+    blank = spark.createDataFrame([], "key string, market_rule string")
+    one = runs.discovery_run(combos, rows, ["x"], blank, runs.Discovery(none, keys("spent"), keys("old")), **grow)
+    assert [(r.key, r.market_rule) for r in one.strategies.collect()] == [("new", "`x` > 0.5")]
+    assert {r.key for r in one.exhausted.collect()} == {"spent", "flat"} and {r.key for r in one.done.collect()} == {"old", "new", "flat"}
+    bad = spark.createDataFrame([("old", None), ("new", "`x` > 0.5"), ("flat", None)], "key string, market_rule string")
+    two = runs.discovery_run(combos, rows, ["x"], bad, one, **grow)
+    got = {(r.key, r.market_rule) for r in two.strategies.collect()}
+    assert {("new", "`x` > 0.5"), ("old", "`x` > 0.5")} <= got
+    assert "flat" in {r.key for r in two.exhausted.collect()}
