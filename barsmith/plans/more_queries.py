@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barsmith.functions import indicators as ind
+from barsmith.functions.positioning import LEVELS, level_price
 from barsmith.operators import bars as b
+from barsmith.operators import barriers as br
+from barsmith.operators import blueprints as bp
 from barsmith.operators import evaluate as ev
 from barsmith.operators import rules
 from barsmith.plans import pipelines, runs
@@ -118,6 +121,38 @@ def preset_outcomes(spark, sf_dir):
     return won.groupBy("instrument", "trade_type", F.col("sl").cast("long").alias("sl"), F.col("tp").cast("long").alias("tp")).agg(F.count(F.lit(1)).alias("wins"), F.max("exit_time").alias("last_exit"))
 
 
+# --- all levels, and prices from bins ------------------------------------------------------------------------------------
+F14 = "SELECT f.*, " + ", ".join(
+    [f'CASE WHEN f.idx >= {n - 1} THEN avg(f.close) OVER (PARTITION BY f.instrument ORDER BY f.idx ROWS {n - 1} PRECEDING) END AS "SMA_{n}"' for n in (50, 100, 200)]
+    + [f'CASE WHEN f.idx >= {n - 1} THEN s.e{n} END AS "EMA_{n}"' for n in (8, 21, 50)]
+    + [f'CASE WHEN f.idx >= 13 THEN f.close {sign} s.atr END AS "ATR_level_{way}_1x_14"' for way, sign in (("up", "+"), ("down", "-"))]
+) + " FROM feat f JOIN sm s ON s.instrument = f.instrument AND s.idx = f.idx"
+
+
+@query(sql("SELECT instrument, type, level, bin, count(DISTINCT entry_time) AS bars, count(*) AS outcomes FROM bb GROUP BY ALL", "won", "feat", "sm", f14=F14, en=q.enriched_sql(LEVELS, "f14"), eb=q.EB, bb=q.bins_sql(LEVELS)))
+def all_levels(spark, sf_dir):
+    """Placements against all 14 levels of the whole feature chain."""
+    bars = q.written(q.indexed(spark, sf_dir), "bars")
+    won = br.barrier_outcomes(bars, q.SL, q.TP, q.LOOK)
+    rows = bp.blueprint_rows(pipelines.enriched_outcomes(won, pipelines.features(bars, warmup=0)))
+    return rows.groupBy("instrument", "type", "level", "bin").agg(F.count_distinct("entry_time").alias("bars"), F.count(F.lit(1)).alias("outcomes"))
+
+
+PLACES = (-9, 0, 8)
+PRICE_SQL = """SELECT f.instrument, f.idx, l.level, k.kind, p.place, round(CASE WHEN k.kind LIKE '%Pct' THEN close + (l.value - close) * (p.place + 0.5) / 10 ELSE l.value + close * (p.place + 2.5) / 10000 END + 3e-8, 4) + 0.0 AS price
+ FROM feat f CROSS JOIN LATERAL (VALUES {}) l(level, value) CROSS JOIN (VALUES ('SL-Pct'), ('TP-BPS')) k(kind) CROSS JOIN (VALUES {}) p(place) WHERE l.value IS NOT NULL"""
+
+
+@query(sql(PRICE_SQL.format(", ".join(f"('{c}', f.\"{c}\")" for c in q.LEVELS), ", ".join(f"({x})" for x in PLACES)), "feat"))
+def bin_prices(spark, sf_dir):
+    """Prices in the middle of bins of both kinds, from levels of every bar."""
+    levels = F.inline(F.array(*(F.struct(F.lit(c).alias("level"), F.col(c).alias("value")) for c in q.LEVELS)))
+    bins = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(x).alias("place")) for k in ("SL-Pct", "TP-BPS") for x in PLACES)))
+    rows = q.features(spark, sf_dir).select("instrument", "idx", "close", levels).filter("value IS NOT NULL").select("*", bins)
+    price = level_price(F.col("close"), F.col("value"), F.col("kind"), F.col("place"))
+    return rows.select("instrument", "idx", "level", "kind", "place", (F.round(price + 3e-8, 4) + 0.0).alias("price"))  # halves round alike
+
+
 # --- series that grow with the tables ------------------------------------------------------------------------------------
 HALVES = "round({} + 1e-7, 4) + 0.0"  # prices of a unit often end in an exact half
 

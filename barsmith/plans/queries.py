@@ -322,9 +322,13 @@ def regimes(spark, sf_dir):
 
 
 # --- positioning and preparation -------------------------------------------------------------------------------------------
-ENRICHED = "SELECT w.*, " + ", ".join(
-    f'({s}_price - f."{c}") / nullif(f.close, 0) * 10000 AS "{s}_dist_to_{c}_bps", ({s}_price - f.close) / nullif(f."{c}" - f.close, 0) AS "{s}_place_pct_to_{c}"' for s in ("sl", "tp") for c in LEVELS
-) + " FROM won w JOIN feat f ON f.instrument = w.instrument AND f.time = w.entry_time"
+def enriched_sql(levels, feat: str = "feat") -> str:
+    return "SELECT w.*, " + ", ".join(
+        f'({s}_price - f."{c}") / nullif(f.close, 0) * 10000 AS "{s}_dist_to_{c}_bps", ({s}_price - f.close) / nullif(f."{c}" - f.close, 0) AS "{s}_place_pct_to_{c}"' for s in ("sl", "tp") for c in levels
+    ) + f" FROM won w JOIN {feat} f ON f.instrument = w.instrument AND f.time = w.entry_time"
+
+
+ENRICHED = enriched_sql(LEVELS)
 PLACES = [f"{s}_{x}" for c in LEVELS for s in ("sl", "tp") for x in (f"dist_to_{c}_bps", f"place_pct_to_{c}")]
 
 
@@ -373,12 +377,16 @@ def scaled_on_one_market(spark, sf_dir):
 
 
 # --- blueprints ------------------------------------------------------------------------------------------------------------
-BINS = " UNION ALL ".join(
-    f"""SELECT instrument, timeframe, entry_time, '{s.upper()}-{kind}' AS type, '{c}' AS level, bin, {o} AS ratio FROM
+def bins_sql(levels) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT instrument, timeframe, entry_time, '{s.upper()}-{kind}' AS type, '{c}' AS level, bin, {o} AS ratio FROM
  (SELECT *, ({f'floor("{s}_place_pct_to_{c}" * 10)' if kind == 'Pct' else f'floor("{s}_dist_to_{c}_bps" / 5) * 5'})::INT AS bin FROM eb
   WHERE abs("{s}_{f'place_pct_to_{c}' if kind == 'Pct' else f'dist_to_{c}_bps'}") < 1e6) WHERE bin BETWEEN {-m} AND {m}"""
-    for c in LEVELS for s, o in (("sl", "tp"), ("tp", "sl")) for kind, m in (("Pct", 20), ("BPS", 50))
-)
+        for c in levels for s, o in (("sl", "tp"), ("tp", "sl")) for kind, m in (("Pct", 20), ("BPS", 50))
+    )
+
+
+BINS = bins_sql(LEVELS)
 EB = "SELECT * FROM en"
 KEY = """sha256(instrument || '-' || timeframe || '-' || type || '-' || CASE WHEN type LIKE 'SL%' THEN level || '-' || bin || '-ratio-' || ratio ELSE 'ratio-' || ratio || '-' || level || '-' || bin END)[1:16]"""
 
