@@ -32,6 +32,9 @@ not read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,7 +46,7 @@ from barsmith.llm.components import components
 
 WIDTH, TREES, DEPTH = 5, 32, 8
 MOST, BLOCK, BLOCK_BYTES, SIEVE = 64, 512, 1 << 24, 0.5
-BITS = TREES * DEPTH
+BITS, BUCKETS = TREES * DEPTH, 1 << 20
 
 
 def shingles(text: str) -> np.ndarray:
@@ -197,16 +200,29 @@ def crowded(docs: DataFrame, members: DataFrame, texts: DataFrame, least: float)
     """Edges (a, b) that join all members (id, doc, key) of crowds with similarity >= least.
 
     A partner shares at least ceil(least * size) runs of a member, so it shares one of any size - ceil(least * size) + 1 of them;
-    taken are the rarest. Runs that are nobody else's come first in that order and bring no partner. Members of one rare run
-    are paired and sieved; where it has more than MOST members, they hang on the smallest.
+    taken are the rarest. Any order of the runs that is the same for all will do, so rarity goes by counts in BUCKETS buckets: a
+    table of fixed size, which every task gets. A run that is alone in its bucket is nobody else's and brings no partner. Members
+    of one rare run are paired and sieved; where it has more than MOST members, they hang on the smallest.
     """
     # A doc_id may hold its text more than once.
     sets = written(sets_of(docs, members, "", []).dropDuplicates(["id"]), "sets")
-    each = sets.select("id", F.size("set").alias("size"), F.explode("set").alias("run"))
-    held = each.groupBy("run").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    ranked = each.join(held, "run").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("held", "run"))).alias("runs"))
-    take = F.greatest(F.lit(0), F.size("runs") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)
-    rare = written(ranked.select("id", F.explode(F.slice("runs", F.lit(1), take)).alias("r")).select("id", F.col("r.run").alias("run")), "rare")
+    held = sets.select(F.explode("set").alias("run")).groupBy(F.col("run").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[held.column("bucket").to_numpy()] = np.minimum(held.column("n").to_numpy(), 2**31 - 1)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, runs = [], []
+            for i, one in zip(batch.column("id").to_pylist(), batch.column("set"), strict=True):
+                own = one.values.to_numpy()
+                n = counts[own & (BUCKETS - 1)]
+                first = np.lexsort((own, n))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+                first = first[n[first] > 1]
+                ids.append(np.full(len(first), i, np.int64))
+                runs.append(own[first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, runs)], ["id", "run"])
+
+    rare = written(sets.mapInArrow(rarest, "id long, run long"), "rare")
     groups = rare.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1")
     stars = rare.join(groups.filter(F.col("n") > MOST), "run").select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     small = rare.join(groups.filter(F.col("n") <= MOST), "run").groupBy("run").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
