@@ -110,11 +110,11 @@ class Table:
     def text(self, most: int) -> str:
         """Rows with cells padded to the widest of their column; cells one after another where that takes over `most` blanks."""
         rows, widths = self.grid(), []
-        for row, cells in zip(rows, self.rows, strict=True):
-            single = [n == 1 for _, n, _ in cells]
+        spanning = {id(lines) for row in self.rows for lines, columns, _ in row if columns > 1}
+        for row in rows:
+            widths += [0] * (len(row) - len(widths))
             for i, lines in enumerate(row):
-                widths += [0] * (i + 1 - len(widths))
-                if len(row) != len(cells) or single[i] or len(row) == 1:
+                if lines and id(lines) not in spanning:
                     widths[i] = min(WIDEST, max([widths[i], *map(width, lines)]))
         upto = [0]
         for n in widths:

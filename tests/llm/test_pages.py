@@ -68,6 +68,8 @@ def test_broken_archives(spark):
 def test_spans_numbers_widths_and_bounds():
     rows = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>日本語<td>x<td>y<tr><td colspan=2>wide<td>z</table>"
     assert render(rows).split("\n") == ["a       b  c", "        d  e", "日本語  x  y", "wide       z"]
+    head = "<table><tr><th colspan=2>a long heading<tr><td>x<td>y</table>"
+    assert render(head) == "a long heading\nx  y"
     assert render("<ol start=5><li>a<li>b<li value=9>c<li>d</ol>") == "5. a\n6. b\n9. c\n10. d"
     assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
     for page in (
