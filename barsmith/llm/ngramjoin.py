@@ -6,16 +6,16 @@ share a prefix of a label lie together. Two texts of similarity s share k minima
 of the trees with 1 - (1 - s**k)**TREES.
 
 The forest is searched as follows. `shortest` is the prefix at which even a pair at the threshold is met with the target recall
-(1 if none is: at thresholds under about 0.3 recall is below the target); a label that is alone under it leads nowhere and goes. A
-node with more than `MOST` labels is followed down until its parts are small; pairs of small nodes, with the length of the prefix
-that they share, pass a sieve on 256 bits of the signatures (which lets a pair at the threshold through but for a chance under
-1e-9). Matched prefixes then count from the full depth on and are shortened, a minimum at a time, until the estimated recall
-reaches the target: a pair met at length k stands for 1 / (1 - (1 - s**k)**TREES) pairs, met or not, so the pairs that have
-been met tell how many have not. Without any pair the shortest prefix is taken.
+(1 if none is: at thresholds under about 0.3 recall is below the target); a label that is alone under it leads nowhere and goes.
+Pairs under one prefix, with the length of the longest prefix that they share, pass a sieve on 256 bits of the signatures (which
+lets a pair at the threshold through but for a chance under 1e-9). Matched prefixes then count from the full depth on and are
+shortened, a minimum at a time, until the estimated recall reaches the target: a pair met at length k stands for
+1 / (1 - (1 - s**k)**TREES) pairs, met or not, so the pairs that have been met tell how many have not. Without any pair the
+shortest prefix is taken.
 
-Nodes that stay large at that length are crowds, made by near copies or by passages that many texts share. Their members are
-paired exactly by another way: of each member only the rarest runs count, as many as a partner of enough similarity cannot
-miss all of (`crowded`), so a shared passage, being frequent, brings nobody together.
+Nodes of over `MOST` labels under the shortest prefix are made by near copies or by passages that many texts share. Their members
+are the crowd, and are paired among themselves exactly by another way: of each member only the rarest runs count, as many as a
+partner of enough similarity cannot miss all of (`crowded`), so a shared passage, being frequent, brings nobody together.
 
 The components of the candidate graph are then verified exactly: all sets of a component meet in blocks (at most `BLOCK` members
 or about `BLOCK_BYTES`), and a task compares two blocks by a matrix product of run columns and returns counts and a spanning
@@ -117,27 +117,18 @@ def prefix(label: Column, length: int) -> Column:
     return F.substring(label, 1, 2 * length)
 
 
-def forest(texts: DataFrame, shortest: int) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """Leaves of small nodes (node, id, label), and the members (id) of nodes over MOST labels by prefix length.
+def forest(texts: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """Leaves under the prefixes of length `shortest` (node, id, label, crowd), and the crowd: members (id) of nodes over MOST labels.
 
-    Small nodes are the shallowest ones, from `shortest` on, with at most MOST labels.
+    Labels that are alone in their node, or in a node over MOST, are no leaves; `crowd` tells leaves of its members.
     """
-    each = texts.select("id", F.posexplode("labels").alias("tree", "label"))
-    rest, small, crowds = each.withColumn("node", F.xxhash64("tree", prefix(F.col("label"), shortest))), [], {}
-    for length in range(shortest, DEPTH + 1):
-        if length > shortest:
-            rest = rest.withColumn("node", F.xxhash64("tree", prefix(F.col("label"), length)))
-        sizes = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rest = written(rest.join(sizes, "node").select("node", "id", "tree", "label", "n"), "forest")
-        small.append(rest.filter(F.col("n") <= MOST).select("node", "id", "label"))
-        rest = rest.filter(F.col("n") > MOST).drop("n")
-        crowds[length] = rest.select("id").distinct()
-        if rest.isEmpty():
-            break
-    leaves = small[0]
-    for part in small[1:]:
-        leaves = leaves.union(part)
-    return leaves, crowds
+    each = texts.select("id", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", prefix(F.col("label"), shortest)))
+    sizes = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hits = written(each.join(sizes, "node").select("node", "id", "label", "n"), "forest")
+    crowd = written(hits.filter(F.col("n") > MOST).select("id").distinct(), "crowd")
+    marks = crowd.select(F.col("id").alias("member"))
+    leaves = hits.filter(F.col("n") <= MOST).join(marks, F.col("id") == F.col("member"), "left").withColumn("crowd", F.col("member").isNotNull())
+    return leaves.select("node", "id", "label", "crowd"), crowd
 
 
 def apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,8 +141,8 @@ def apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def met(leaves: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
-    """Pairs a < b of small nodes that pass the sieve, with shared, the longest prefix of any tree that they share."""
-    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m"))
+    """Pairs a < b of leaves, not both of the crowd, that pass the sieve, with shared, the longest prefix that they share in a tree."""
+    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "label", "crowd"))).alias("m"))
 
     def shared(x: Column, y: Column) -> Column:
         found = F.lit(shortest)
@@ -159,7 +150,7 @@ def met(leaves: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
             found = F.when(prefix(x, k) == prefix(y, k), k).otherwise(found)
         return found
 
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, MOST), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), shared(x["label"], y["label"]).alias("shared")))))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, MOST), lambda y: ~(x["crowd"] & y["crowd"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), shared(x["label"], y["label"]).alias("shared")))))
     pairs = groups.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.max("shared").alias("shared"))
     return apart(pairs, texts)
 
@@ -234,15 +225,12 @@ def crowded(docs: DataFrame, members: DataFrame, texts: DataFrame, least: float)
 def candidates(docs: DataFrame, texts: DataFrame, least: float, recall: float) -> DataFrame:
     """Edges (a, b) between texts (id, doc, key, labels, sketch) whose components hold all links."""
     shortest = prefix_length(least, recall)
-    leaves, crowds = forest(texts, shortest)
+    leaves, crowd = forest(texts, shortest)
     pairs = written(met(leaves, texts, shortest), "met")
-    length = settled(pairs, least, recall, shortest)
-    edges = pairs.filter(F.col("shared") >= length).select("a", "b")
-    crowd = crowds.get(length)
-    if crowd is None or crowd.isEmpty():
+    edges = pairs.filter(F.col("shared") >= settled(pairs, least, recall, shortest)).select("a", "b")
+    if crowd.isEmpty():
         return edges
-    members = crowd.join(texts.select("id", "doc", "key"), "id")
-    return edges.union(crowded(docs, members, texts, least))
+    return edges.union(crowded(docs, crowd.join(texts.select("id", "doc", "key"), "id"), texts, least))
 
 
 def compare(ids: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
