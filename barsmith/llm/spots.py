@@ -50,9 +50,13 @@ def signatures(text: Column) -> Column:
     # Words and stops, blanks between them.
     plain = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}]*?({STOPS})[^\p{{L}}\p{{N}}]*|[^\p{{L}}\p{{N}}]+", " $1 ")
     chunks = F.regexp_extract_all(F.concat(F.lit(". "), F.trim(plain)), F.lit(CHUNK), F.lit(0))  # anchors and one content word
-    following = F.slice(F.transform(chunks, lambda c: F.substring_index(c, " ", -1)), 2, 2**31 - 1)
-    chains = F.zip_with(chunks, following, lambda c, n: F.when(F.contains(c, F.lit(" ")), F.xxhash64(c, F.coalesce(n, F.lit("")))))
-    return F.array_sort(F.array_distinct(F.array_compact(chains)))
+
+    def chains(m: Column) -> Column:
+        following = F.slice(F.transform(m, lambda c: F.substring_index(c, " ", -1)), 2, 2**31 - 1)
+        return F.array_compact(F.zip_with(m, following, lambda c, n: F.when(F.contains(c, F.lit(" ")), F.xxhash64(c, F.coalesce(n, F.lit(""))))))
+
+    # As a bound variable the chunks are made once, not for each place that they stand in.
+    return F.array_sort(F.array_distinct(F.transform(F.array(chunks), chains)[0]))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
