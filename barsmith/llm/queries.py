@@ -78,8 +78,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.repair import damaged, repairs
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repairs(conversations, damaged(conversations))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.exactdedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barsmith.llm.merkle import every_fifth, manifest
+
+    return manifest(table(spark, sf_dir, "documents"), every_fifth())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_ngram_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op8_spot_signatures, op9_page_text, op10_source_mix)
+    f.__name__: f for f in (op1_personal_data, op2_ngram_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_warc, op7_toxicity, op8_spot_signatures, op9_page_text, op10_source_mix, op11_conversation_repair, op12_exact_dedup, op13_merkle_manifest)
 }
 ORACLE_SQL: dict[str, str] = {
     # All pairs by shared run of words: for small tables.
@@ -96,6 +115,10 @@ c AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1),
 k AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY 1)
 SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
 FROM documents d LEFT JOIN t ON d.doc_id IS NOT NULL AND t.text = coalesce(d.text, '') LEFT JOIN c ON c.id = t.id LEFT JOIN k ON k.id = t.id""",
+    "op12_exact_dedup": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY 1),
+r AS (SELECT t.*, keep_id, n, row_number() OVER (PARTITION BY t.text, doc_id) AS copy FROM t JOIN g ON g.text = t.text)
+SELECT doc_id, keep_id, n AS group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(text) AS text_sha256 FROM r""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
 f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY 1)
