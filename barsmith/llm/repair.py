@@ -238,8 +238,8 @@ def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from part.to_pylist()
 
 
-def blocks(units: DataFrame) -> DataFrame:
-    """BLOCKS of the units, sorted by range: at most BLOCK rows of one conversation each."""
+def blocks(units: DataFrame, size: int = BLOCK) -> DataFrame:
+    """BLOCKS of the units, sorted by range: at most `size` rows of one conversation each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
@@ -252,7 +252,7 @@ def blocks(units: DataFrame) -> DataFrame:
                 for i in range(u["copies"]):
                     again = DUPLICATE if (i or u["later"]) and u["fault"] != BLANK else u["fault"]
                     held.append((u["turn"], u["role"], u["sha"], again))
-                    if len(held) == BLOCK:
+                    if len(held) == size:
                         yield block_record(conv, part, seq, held)
                         held, seq = [], seq + 1
             if held:
@@ -363,16 +363,16 @@ def repaired_rows(rows: Iterator[dict]) -> Iterator[tuple[int | None, str, str]]
             edit = None
 
 
-def planned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def planned(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Of rows as of as_rows: the plans of their conversations, and the stream of texts and edits."""
-    table = written(blocks(facts(rows)), "blocks")
+    table = written(blocks(facts(rows), size), "blocks")
     chosen = written(plans(table), "plans")
     return chosen, stream(rows, kept(table, chosen), chosen)
 
 
-def repaired(conversations: DataFrame) -> DataFrame:
+def repaired(conversations: DataFrame, size: int = BLOCK) -> DataFrame:
     """conv_id, position, role, text of the repaired conversations."""
-    _, found = planned(as_rows(conversations))
+    _, found = planned(as_rows(conversations), size)
     schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,9 +386,9 @@ def repaired(conversations: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "conv_id long, position long, role string, text string")
 
 
-def repairs(every: DataFrame, rows: DataFrame) -> DataFrame:
-    """The result for each conv_id of `every`, from the rows (see as_rows) that are there now."""
-    chosen, found = planned(rows)
+def repairs(every: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The result for each conv_id of `every`, from the rows (see as_rows) that are there now, in blocks of `size`."""
+    chosen, found = planned(rows, size)
     schema = pa.schema([("conv_id", pa.int64()), ("repaired_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
