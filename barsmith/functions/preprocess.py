@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.functions.patterns import score
@@ -40,3 +40,26 @@ def scaled(frame: DataFrame, columns: list[str], by: list[str], fit: DataFrame |
         std = F.col(f"_std_{c}")
         new[c] = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"_mean_{c}")) / F.when(std == 0, 1.0).otherwise(std)
     return joined.withColumns(new).drop(*(f"_{n}_{c}" for c in columns for n in ("mean", "std")))
+
+
+def scaler_state(frame: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, feature, n, mean, m2): what a scaler needs of each market, m2 the sum of squared deviations. Missing values count as 0."""
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    stats = [F.struct(F.lit(c).alias("feature"), F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(F.lit(1))).alias("m2")) for c, x in zip(columns, filled, strict=True)]
+    return frame.groupBy(*by).agg(F.array(*stats).alias("_stats")).select(*by, F.inline("_stats"))
+
+
+def _pooled(a: Column, b: Column) -> Column:
+    """Two sets as one: counts add up, and means that lie apart add to the deviations."""
+    n = a["n"] + b["n"]
+    step = b["mean"] - a["mean"]
+    return F.struct(n.alias("n"), (a["mean"] + step * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + step * step * a["n"] * b["n"] / n).alias("m2"))
+
+
+def scaler_of(state: DataFrame, columns: list[str]) -> DataFrame:
+    """One scaler (a row as `scaler` makes it) of all rows of the state: markets are pooled feature by feature, whatever run they came from."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    parts = state.filter("n > 0").groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))).alias("_parts"))
+    whole = parts.select("feature", F.aggregate("_parts", none, _pooled).alias("s"))
+    values = [F.first(F.when(F.col("feature") == c, x), True).alias(f"_{n}_{c}") for c in columns for n, x in (("mean", F.col("s.mean")), ("std", F.sqrt(F.col("s.m2") / F.col("s.n"))))]
+    return whole.agg(*values)

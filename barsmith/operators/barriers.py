@@ -2,40 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from barsmith.operators.bars import BLOCK, KEYS, block_window, blocked, spread_cost, unblocked
+from barsmith.operators.bars import BLOCK, KEYS, blocked, spread_cost
 
 UNIT = 10_000  # ratios are integers of 0.0001
 
 
-def _records(ahead: Column, price: str, up: bool) -> Column:
-    """Of the bars ahead, those that go beyond all before them: array of (idx, price), some log(L) of L bars."""
-    def further(s: Column, x: Column) -> Column:
-        return x[price] > s["best"] if up else x[price] < s["best"]
+def _next_beyond(values: np.ndarray) -> np.ndarray:
+    """For each value the place of the first later one that is greater, the length where there is none: a monotone stack."""
+    out, stack = np.full(len(values), len(values)), []
+    for i, v in enumerate(values.tolist()):
+        while stack and stack[-1][1] < v:
+            out[stack.pop()[0]] = i
+        stack.append((i, v))
+    return out
 
-    none = F.array().cast("array<struct<idx:bigint,price:double>>")
-    first = F.struct(F.lit(float("-inf") if up else float("inf")).alias("best"), none.alias("found"))
 
-    def step(s: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["idx"].alias("idx"), x[price].alias("price")))
-        return F.when(further(s, x), F.struct(x[price].alias("best"), F.concat(s["found"], one).alias("found"))).otherwise(s)
+def _chains(values: np.ndarray, own: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and places: for each place in `own` those of the next `ahead` values that go beyond all before them.
 
-    return F.aggregate(ahead, first, step, lambda s: s["found"])
+    The first value ahead starts a chain, and the next link of a value is the first one beyond it, so only records are visited.
+    """
+    beyond, at, rows, found = np.append(_next_beyond(values), len(values)), own + 1, [], []
+    row = np.arange(len(own))
+    while True:
+        live = (at < len(values)) & (at <= own[row] + ahead)
+        row, at = row[live], at[live]
+        if not len(row):
+            break
+        rows.append(row)
+        found.append(at)
+        at = beyond[at]
+    rows, found = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, found))
+    some = values[found] > -np.inf  # a missing price is no record
+    rows, found = rows[some], found[some]
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(own)))]), found[order]
 
 
 def with_records(bars: DataFrame, look_ahead: int) -> DataFrame:
-    """Indexed bars with `highs` and `lows`: record highs and lows of the next `look_ahead` bars.
+    """Indexed bars with `highs` and `lows`: record highs and lows of the next `look_ahead` bars, arrays of (idx, price).
 
     The first bar that touches a level is the first record beyond it, so any number of levels is found in a few steps each
-    without a join.
+    without a join. A block of bars and its halo are scanned once: each bar's records are a chain of links "next bar beyond",
+    some log L of L bars, and no bar takes a copy of the bars ahead.
     """
     size = max(BLOCK, look_ahead)
-    ahead = F.collect_list(F.struct("idx", "high", "low")).over(block_window().rowsBetween(1, look_ahead))
-    frame = blocked(bars, ahead=look_ahead, size=size).withColumn("_ahead", ahead)
-    frame = unblocked(frame, size)
-    return frame.withColumns({"highs": _records(F.col("_ahead"), "high", True), "lows": _records(F.col("_ahead"), "low", False)}).drop("_ahead")
+    record = ArrayType(StructType([StructField("idx", LongType()), StructField("price", DoubleType())]))
+    columns = bars.columns
+    schema = StructType([*bars.schema.fields, StructField("highs", record), StructField("lows", record)])
+
+    def of_block(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        idx = rows.column("idx").to_numpy()
+        own = np.flatnonzero(idx // size == key[-1].as_py())
+        out = rows.select(columns).take(pa.array(own))
+        for name, price, sign in (("highs", "high", 1.0), ("lows", "low", -1.0)):
+            values = sign * rows.column(price).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            offsets, found = _chains(np.where(np.isnan(values), -np.inf, values), own, look_ahead)
+            pairs = pa.StructArray.from_arrays([pa.array(idx[found], pa.int64()), pa.array(sign * values[found], pa.float64())], ["idx", "price"])
+            out = out.append_column(name, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs))
+        return out
+
+    return blocked(bars, ahead=look_ahead, size=size).groupBy(*KEYS, "block").applyInArrow(of_block, schema)
 
 
 def touched_up(level: Column) -> Column:
@@ -94,28 +130,64 @@ def with_exit_time(outcomes: DataFrame, bars: DataFrame) -> DataFrame:
     return outcomes.join(times, [*KEYS, "exit_idx"], "left")
 
 
-def exits(orders: DataFrame, bars: DataFrame, look_ahead: int = 5000, block: int = 256) -> DataFrame:
+def extremes(bars: DataFrame, fan: int, levels: int) -> list[DataFrame]:
+    """A tree of extremes over the bars of each market: of each level (KEYS, node, kids), kids: (n, high, low) of at most `fan` parts.
+
+    The parts of level 1 are bars; those of level k + 1 are the nodes of level k. Node n has the parts fan * n and up.
+    """
+    parts, out = bars.select(*KEYS, F.col("idx").alias("n"), "high", "low"), []
+    for _ in range(levels):
+        kids = F.sort_array(F.collect_list(F.struct("n", "high", "low"))).alias("kids")
+        nodes = parts.groupBy(*KEYS, F.floor(F.col("n") / fan).alias("node")).agg(kids, F.max("high").alias("high"), F.min("low").alias("low"))
+        out.append(nodes.select(*KEYS, "node", "kids"))
+        parts = nodes.select(*KEYS, F.col("node").alias("n"), "high", "low")
+    return out
+
+
+def exits(orders: DataFrame, bars: DataFrame, look_ahead: int = 5000, block: int | None = None) -> DataFrame:
     """orders (KEYS, order_id, idx, trade_type, sl_price, tp_price) with sl_idx and tp_idx, the first touches within look_ahead.
 
-    Blocks of bars are known by their highest high and lowest low. An order looks into its own block and, for each level,
-    into the first later block that touches it; only those bars are joined.
+    An order walks a tree of extremes: up, through the later parts of its own node on each level and the next node at the top, until
+    a part reaches the price, and from there down to the bar. Each step joins an order with one node, whose parts (`block`, by default the root
+    of look_ahead) it searches, so an order takes a few rows for both prices, however far ahead the touch lies.
     """
-    cut = bars.select(*KEYS, F.col("idx").alias("_at"), "high", "low", F.floor(F.col("idx") / block).alias("_block"))
-    sums = cut.groupBy(*KEYS, "_block").agg(F.max("high").alias("_high"), F.min("low").alias("_low"))
-    own = F.floor(F.col("idx") / block)
+    fan = block or max(16, math.ceil(math.sqrt(look_ahead)))
+    levels = 1
+    while fan**levels < look_ahead:
+        levels += 1
+    tree = extremes(bars, fan, levels)
     up = F.col("trade_type") == "buy"
-    o = orders.select(*KEYS, "order_id", "idx", up.alias("_up"), "sl_price", "tp_price")
-    levels = o.select(*KEYS, "order_id", "idx", F.inline(F.array(
-        F.struct(F.lit("tp").alias("_side"), F.col("tp_price").alias("_level"), F.col("_up").alias("_above")),
-        F.struct(F.lit("sl").alias("_side"), F.col("sl_price").alias("_level"), (~F.col("_up")).alias("_above")),
-    )))
-    wide = levels.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("idx") + look_ahead) / block))))
-    reach = F.when(F.col("_above"), F.col("_high") >= F.col("_level")).otherwise(F.col("_low") <= F.col("_level"))
-    w = Window.partitionBy("order_id", "_side")
-    met = wide.join(sums, [*KEYS, "_block"]).filter(reach)
-    met = met.withColumn("_next", F.min(F.when(F.col("_block") > own, F.col("_block"))).over(w)).filter((F.col("_block") == own) | (F.col("_block") == F.col("_next")))
-    touch = F.when(F.col("_above"), F.col("high") >= F.col("_level")).otherwise(F.col("low") <= F.col("_level"))
-    hit = met.select(*KEYS, "order_id", "idx", "_side", "_level", "_above", "_block").join(cut, [*KEYS, "_block"])
-    hit = hit.filter((F.col("_at") > F.col("idx")) & (F.col("_at") <= F.col("idx") + look_ahead) & touch)
-    first = hit.groupBy("order_id").agg(F.min(F.when(F.col("_side") == "tp", F.col("_at"))).alias("tp_idx"), F.min(F.when(F.col("_side") == "sl", F.col("_at"))).alias("sl_idx"))
-    return orders.join(first, "order_id", "left")
+    sides = {"tp": up, "sl": ~up}  # whether the price lies above
+    o = orders.select(*KEYS, "order_id", "idx", "sl_price", "tp_price", *(above.alias(f"_{s}_above") for s, above in sides.items()))
+
+    def joined(o: DataFrame, level: int, node: Column, name: str) -> DataFrame:
+        t = tree[level - 1].select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("node").alias("_node"), F.col("kids").alias(name))
+        same = [F.col(k) == F.col(f"_{k}") for k in KEYS]
+        return o.withColumn("_at", node).join(t, same[0] & same[1] & (F.col("_at") == F.col("_node")), "left").drop("_at", "_node", *(f"_{k}" for k in KEYS))
+
+    def first(kids: str, after: Column, side: str) -> Column:
+        """The first part behind `after` that reaches the price."""
+        level, above = F.col(f"{side}_price"), F.col(f"_{side}_above")
+        reach = lambda c: F.when(above, c["high"] >= level).otherwise(c["low"] <= level)
+        return F.get(F.filter(kids, lambda c: (c["n"] > after) & reach(c)), F.lit(0))["n"]
+
+    # Up: _<side>_part is the first part found, _<side>_level the level of its node.
+    for level in range(1, levels + 2):
+        top = min(level, levels)
+        node = F.floor(F.col("idx") / fan**top) + int(level > levels)
+        after = F.floor(F.col("idx") / fan ** (top - 1)) if level <= levels else F.lit(-1)
+        o = joined(o, top, node, "_kids")
+        for side in sides:
+            here = first("_kids", after, side)
+            o = o.withColumn(f"_{side}_part", here if level == 1 else F.coalesce(f"_{side}_part", here))
+            at = F.when(F.col(f"_{side}_part").isNotNull(), top)
+            o = o.withColumn(f"_{side}_level", at if level == 1 else F.coalesce(f"_{side}_level", at))
+        o = o.drop("_kids")
+    # Down: where a node was found on a level above, into it; others look where they are, which says nothing.
+    for level in range(levels - 1, 0, -1):
+        for side in sides:
+            deep = F.col(f"_{side}_level") > level
+            o = joined(o, level, F.when(deep, F.col(f"_{side}_part")).otherwise(F.floor(F.col("idx") / fan**level)), "_kids")
+            o = o.withColumn(f"_{side}_part", F.when(deep, first("_kids", F.lit(-1), side)).otherwise(F.col(f"_{side}_part"))).drop("_kids")
+    found = [F.when(F.col(f"_{s}_part") <= F.col("idx") + look_ahead, F.col(f"_{s}_part")).alias(f"{s}_idx") for s in sides]
+    return orders.join(o.select("order_id", *found), "order_id", "left")

@@ -26,7 +26,8 @@ def blueprint_rows(enriched: DataFrame, levels: list[str] | None = None) -> Data
                 b = _bin(F.col(column), kind)
                 item = F.struct(F.lit(f"{side.upper()}-{kind}").alias("type"), F.lit(c).alias("level"), b.alias("bin"), F.col(other).cast("int").alias("ratio"))
                 parts.append(F.when(b.between(-most, most), item))
-    return enriched.select(*KEYS, "entry_time", F.inline(F.array_compact(F.array(*parts))))
+    at = [c for c in ("entry_time", "entry_idx") if c in enriched.columns]
+    return enriched.select(*KEYS, *at, F.inline(F.array_compact(F.array(*parts))))
 
 
 def blueprint_counts(enriched: DataFrame, levels: list[str] | None = None) -> DataFrame:
@@ -50,7 +51,11 @@ def targets(counts: DataFrame) -> DataFrame:
 
 def combinations(counts: DataFrame) -> DataFrame:
     """One row for each blueprint with its definition in typed columns and num_candles, the bars that have it."""
-    groups = counts.groupBy(*KEYS, "type", "level", "bin", "ratio").agg(F.count(F.lit(1)).alias("num_candles"))
+    return defined(counts.groupBy(*KEYS, "type", "level", "bin", "ratio").agg(F.count(F.lit(1)).alias("num_candles")))
+
+
+def defined(groups: DataFrame) -> DataFrame:
+    """Combinations from (KEYS, type, level, bin, ratio, num_candles)."""
     sl = F.col("type").startswith("SL")
     return keyed(groups).select(
         "key", *KEYS, "type",
@@ -70,6 +75,11 @@ def with_definitions(strategies: DataFrame) -> DataFrame:
     return strategies
 
 
+def write_bucketed(found: DataFrame, table: str, on: list[str], buckets: int) -> None:
+    """A catalog table dealt and sorted by `on`, so that later joins and aggregations on those columns need no shuffle of it."""
+    found.write.mode("overwrite").format("parquet").bucketBy(buckets, *on).sortBy(*on).saveAsTable(table)
+
+
 def write_targets(found: DataFrame, path: str) -> None:
     """All targets as one table, rows of a key together and in time order."""
     found.repartition("key").sortWithinPartitions("key", "entry_time").write.mode("overwrite").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.positioning import LEVELS, level_price
 from barsmith.operators.bars import KEYS, with_costs
 from barsmith.operators.barriers import exits
-from barsmith.operators.rules import matches
+from barsmith.operators.bitmaps import matches_by_index
 
 STRATEGY = ["strategy_id", "timeframe", "market_rule", "trade_type", "type", "sl_level", "sl_ratio", "sl_bin", "tp_level", "tp_ratio", "tp_bin"]
 
@@ -29,11 +29,11 @@ def signals(strategies: DataFrame, features: DataFrame, rule_features: list[str]
 
     A strategy with a timeframe is tried on the markets of that timeframe alone.
     """
-    hit = matches(strategies, features, rule_features)
+    hit = matches_by_index(strategies, features, rule_features, timed=False)
     levels = [c for c in LEVELS if c in features.columns]
     by_name = F.create_map(*(x for c in levels for x in (F.lit(c), F.col(c).cast("double")))) if levels else F.create_map().cast("map<string,double>")
     regimes = [c for c in ("session", "trend_regime_14", "vol_regime_14") if c in features.columns]
-    bars = features.select(*KEYS, "idx", "n_bars", "close", by_name.alias("levels"), *regimes)
+    bars = features.select(*KEYS, "idx", "time", "n_bars", "close", by_name.alias("levels"), *regimes)
     return strategies.select(*(c for c in STRATEGY if c in strategies.columns)).join(hit, ["market_rule", "timeframe"] if "timeframe" in strategies.columns else "market_rule").join(bars, [*KEYS, "idx"])
 
 
@@ -119,18 +119,58 @@ def performance(done: DataFrame, start: float = 10_000.0, risk_free: float = 0.0
     return out.withColumns({"profit_factor": factor, "sharpe_ratio": sharpe}).select(*group, "profit_factor", "sharpe_ratio", "max_drawdown_pct", "win_rate_pct", "final_capital", "total_trades")
 
 
-def more_metrics(done: DataFrame) -> DataFrame:
+SEGMENT = ("prefix", "suffix", "longest", "length")
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """A segment of trades followed by another: runs at its start and end, the longest one, and its length."""
+    values = {
+        "prefix": F.when(a["prefix"] == a["length"], a["length"] + b["prefix"]).otherwise(a["prefix"]),
+        "suffix": F.when(b["suffix"] == b["length"], b["length"] + a["suffix"]).otherwise(b["suffix"]),
+        "longest": F.greatest(a["longest"], b["longest"], a["suffix"] + b["prefix"]), "length": a["length"] + b["length"],
+    }
+    return F.struct(*(values[k].alias(k) for k in SEGMENT))
+
+
+def longest_runs(done: DataFrame, block: int = 4096) -> DataFrame:
+    """max_wins and max_losses of each strategy and market: the longest runs of trades that won and that lost.
+
+    Runs are measured within blocks of bars; blocks are segments that are joined in order, so no task sorts all trades of a strategy.
+    """
+    group = ["strategy_id", *KEYS]
+    t = done.select(*group, "seq", "won", F.floor(F.col("idx") / block).alias("_block"))
+    run = F.col("seq") - F.row_number().over(Window.partitionBy(*group, "_block", "won").orderBy("seq"))
+    runs = t.withColumn("_run", run).groupBy(*group, "_block", "won", "_run").agg(F.min("seq").alias("_from"), F.max("seq").alias("_to"), F.count(F.lit(1)).alias("_n"))
+    ends = [by(F.struct("won", "_n"), at).alias(name) for by, at, name in ((F.min_by, "_from", "_first"), (F.max_by, "_to", "_last"))]
+    most = [F.coalesce(F.max(F.when(F.col("won") == won, F.col("_n"))), F.lit(0)).alias(f"_longest_{won}") for won in (True, False)]
+    blocks = runs.groupBy(*group, "_block").agg(F.sum("_n").alias("_length"), *ends, *most)
+
+    def segment(won: bool) -> Column:
+        at = lambda c: F.when(F.col(c)["won"] == won, F.col(c)["_n"]).otherwise(0)
+        values = {"prefix": at("_first"), "suffix": at("_last"), "longest": F.col(f"_longest_{won}"), "length": F.col("_length")}
+        return F.struct(*(values[k].cast("long").alias(k) for k in SEGMENT))
+
+    parts = blocks.select(*group, F.struct("_block", segment(True).alias("wins"), segment(False).alias("losses")).alias("_part"))
+    parts = parts.groupBy(*group).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    empty = F.struct(*(F.lit(0).cast("long").alias(k) for k in SEGMENT))
+
+    def whole(c: str) -> Column:
+        return F.aggregate("_parts", empty, lambda s, x: _joined(s, x[c]), lambda s: s["longest"]).alias(f"max_{c}")
+
+    return parts.select(*group, whole("wins"), whole("losses"))
+
+
+def more_metrics(done: DataFrame, block: int = 4096) -> DataFrame:
     """Mean duration in bars, longest runs of wins and losses, SQN (mean r / deviation of r * sqrt(n)), Calmar (return % / drawdown %)."""
     group = ["strategy_id", *KEYS]
-    t = _earlier(done, {"_peak": (F.max, F.col("capital"))}).withColumn("_peak", F.greatest("_peak", "capital"))
-    t = t.withColumn("_run", F.col("seq") - F.row_number().over(Window.partitionBy(*group, "won").orderBy("seq")))
-    t = t.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy(*group, "won", "_run")))
+    t = _earlier(done, {"_peak": (F.max, F.col("capital"))}, block).withColumn("_peak", F.greatest("_peak", "capital"))
     out = t.groupBy(*group).agg(
-        F.avg(F.col("exit_idx") - F.col("idx")).alias("avg_bars"), F.coalesce(F.max(F.when(F.col("won"), F.col("_length"))), F.lit(0)).alias("max_wins"),
-        F.coalesce(F.max(F.when(~F.col("won"), F.col("_length"))), F.lit(0)).alias("max_losses"), (F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count(F.lit(1)))).alias("sqn"),
+        F.avg(F.col("exit_idx") - F.col("idx")).alias("avg_bars"), (F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count(F.lit(1)))).alias("sqn"),
         F.max_by("capital", "seq").alias("_final"), (F.max(F.col("_peak") - F.col("capital")) / F.max("_peak") * 100).alias("_dd"),
     )
-    return out.withColumn("calmar", F.try_divide((F.col("_final") / 10_000 - 1) * 100, F.col("_dd"))).drop("_final", "_dd")
+    out = out.join(longest_runs(done, block), group)
+    calmar = F.try_divide((F.col("_final") / 10_000 - 1) * 100, F.col("_dd")).alias("calmar")
+    return out.select(*group, "avg_bars", "max_wins", "max_losses", "sqn", calmar)
 
 
 def regime_mix(found: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ from barsmith.functions import indicators as ind
 from barsmith.functions.positioning import LEVELS, level_price
 from barsmith.operators import bars as b
 from barsmith.operators import barriers as br
+from barsmith.operators import bitmaps as bm
 from barsmith.operators import blueprints as bp
 from barsmith.operators import evaluate as ev
 from barsmith.operators import rules
@@ -65,6 +66,44 @@ def validation_run(spark, sf_dir):
     return rounded(second.summary.select(*(c.strip().split(" AS ")[-1] for c in SUMMARY_COLS.split(", ") if "(" not in c or " AS " in c), "key", "trade_type"), 4)
 
 
+@query(sql(f"SELECT strategy_id, instrument, CASE WHEN {OF_SHORT} THEN 60 ELSE 15 END AS timeframe, {PERF_COLS}, total_trades FROM pf", "feat", **TRADES, **PERF))
+def validation_timeframes(spark, sf_dir):
+    """Markets of two timeframes: runs of either try its own strategies alone, and the second goes on from the first.
+
+    One strategy of the first timeframe passes only before the last run, which tries it on the markets done without it.
+    """
+    m = market(spark, sf_dir)
+    both = runs.Market(*(q.written(f.unionByName(f.withColumn("timeframe", F.lit(15))), "both") for f in (m.features, m.bars)), m.costs, m.rule_features)
+    mine = q.strategies(spark).withColumn("timeframe", F.when(F.col("key").isin(*SHORT), 60).otherwise(15))
+    first, _ = runs.validation_run(60, mine.filter("key <> 'b2'"), both)
+    second, _ = runs.validation_run(15, mine, both, first)
+    last, _ = runs.validation_run(60, mine, both, second)
+    return rounded(last.detailed.select("strategy_id", *b.KEYS, *q.METRICS, "total_trades"), 4)
+
+
+@query(q.SQL["combinations"])
+def combinations_in_runs(spark, sf_dir):
+    """Blueprints counted in three runs over overlapping thirds of the outcomes, as sets of bars that are merged."""
+    rows = q.written(bp.blueprint_rows(q.enriched_bars(spark, sf_dir), q.LEVELS), "placements")
+    runs_of = [bm.blueprint_bitmaps(rows.filter(c)) for c in ("entry_idx % 3 <> 0", "entry_idx % 3 <> 1", "entry_idx % 3 = 1")]
+    known = bm.merged(*runs_of[:2])
+    return bp.defined(bm.bar_counts(bm.merged(known, runs_of[2])))
+
+
+# Bounds that lie beside those of `rule_matches`, so that with two edges a feature some of them cut bins.
+CUT_RULES = {
+    "`RSI_14` > 41.5": '"RSI_14" > 41.5', "`RSI_14` <= 47.25 and `hour` > 3.0": '"RSI_14" <= 47.25 AND hour > 3', "`ADX_14` > 11.5 and `ADX_14` <= 18.75": '"ADX_14" > 11.5 AND "ADX_14" <= 18.75',
+    "`hour` > 4.0 and `hour` <= 4.0": "false", "`weekday` <= 2.0 and `RSI_14` > 52.125 and `ADX_14` > 13.0": 'weekday <= 2 AND "RSI_14" > 52.125 AND "ADX_14" > 13',
+}
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{r}' AS market_rule, instrument, timeframe, time, idx FROM feat WHERE {x}" for r, x in {**q.RULES, **CUT_RULES}.items()), "feat"))
+def rule_index_cut_bins(spark, sf_dir):
+    """Rules by an index of two edges a feature: bars in bins that a bound cuts are tested one by one."""
+    texts = q.strategies(spark).select("market_rule").union(spark.createDataFrame([(r,) for r in CUT_RULES], "market_rule string"))
+    return bm.matches_by_index(texts, q.features(spark, sf_dir), q.RULE_FEATURES, most=2)
+
+
 BEST = "SELECT * FROM gains WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(gain, 9) DESC, feature, bin) = 1"
 LEARNT = "SELECT * FROM best WHERE key <> 'view-buy' AND n0 >= 100"
 

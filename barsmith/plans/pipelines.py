@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from barsmith.functions import indicators as ind
 from barsmith.functions.patterns import patterns
 from barsmith.functions.positioning import enriched, price_relative
-from barsmith.functions.preprocess import one_hot, pattern_scores, scaled, scaler
+from barsmith.functions.preprocess import one_hot, pattern_scores, scaled, scaler, scaler_of, scaler_state
 from barsmith.operators import bars as b
 from barsmith.operators import evaluate as ev
 from barsmith.operators import reports
 from barsmith.operators.barriers import barrier_outcomes, with_exit_time
+from barsmith.sources.state import written
 
 
 def outcomes(indexed: DataFrame, minutes: int) -> DataFrame:
@@ -38,21 +39,38 @@ def enriched_outcomes(won: DataFrame, feats: DataFrame) -> DataFrame:
     return enriched(won, feats)
 
 
-def learning_table(feats: DataFrame, fit_on: str | None = None) -> DataFrame:
-    """Numeric features: levels relative to price, labels one-hot, patterns scored, the rest scaled.
-
-    fit_on: the instrument whose means and deviations are used for all; else each market has its own.
-    """
+def learnable(feats: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Numeric features before scaling, and the columns to scale: levels relative to price, labels one-hot, patterns scored."""
     f = pattern_scores(one_hot(price_relative(feats)))
     whole = {"idx", "n_bars", "hour", "weekday"}
     plain = [c for c, t in f.dtypes if t == "double" and c not in whole and not c.startswith("CDL_") and not any(c.startswith(p) for p in ("session_", "trend_regime_", "vol_regime_"))]
+    return f, plain
+
+
+def learning_table(feats: DataFrame, fit_on: str | None = None) -> DataFrame:
+    """Learnable features, scaled. fit_on: the instrument whose means and deviations are used for all; else each market has its own."""
+    f, plain = learnable(feats)
     fit = scaler(f.filter(F.col("instrument") == fit_on), plain, b.KEYS) if fit_on else None
     return scaled(f, plain, b.KEYS, fit)
 
 
-def backtest(strategies: DataFrame, feats: DataFrame, indexed: DataFrame, costs: DataFrame, rule_features: list[str], look_ahead: int = 5000) -> tuple[DataFrame, DataFrame]:
-    """(trade log, report with regime maps) of all strategies on all markets given."""
+def prepared(feats: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(learning table of the markets that are new, state of the scaler): one scaler for all, that grows with the markets.
+
+    before: the state of earlier calls, whose markets are done. The new markets are counted into it, and scaled by the whole.
+    """
+    f, plain = learnable(feats)
+    f = f.join(before.select(*b.KEYS).distinct(), b.KEYS, "left_anti") if before is not None else f
+    state = scaler_state(f, plain, b.KEYS)
+    state = written(state if before is None else before.unionByName(state), "scaler")
+    return scaled(f, plain, b.KEYS, scaler_of(state, plain)), state
+
+
+def backtest(strategies: DataFrame, feats: DataFrame, indexed: DataFrame, costs: DataFrame, rule_features: list[str], look_ahead: int = 5000, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trade log, report with regime maps) of all strategies on all markets given; only: pairs (strategy_id, KEYS) to try."""
     found = ev.signals(strategies, feats, rule_features)
+    if only is not None:
+        found = found.join(only, ["strategy_id", *b.KEYS], "left_semi")
     done = ev.equity(ev.trades(ev.orders(found, costs), indexed, look_ahead))
     report = ev.performance(done).join(ev.regime_maps(found), ["strategy_id", *b.KEYS], "left")
     return ev.trade_log(done), report

@@ -20,6 +20,7 @@ from barsmith.operators import barriers as br
 from barsmith.operators import blueprints as bp
 from barsmith.operators import evaluate as ev
 from barsmith.operators import reports, rules
+from barsmith.operators.bitmaps import matches_by_index
 from barsmith.sources.state import append_distinct, upsert_last, written
 
 MINUTES, LOOK, SL, TP = 60, 50, [1000, 3000], [1000, 3000, 6000]
@@ -455,7 +456,7 @@ RULES = {s[1]: s[11] for s in STRATEGIES}
 
 @query(sql(" UNION ALL ".join(f"SELECT '{r}' AS market_rule, instrument, timeframe, time, idx FROM feat WHERE {x}" for r, x in RULES.items()), "feat"))
 def rule_matches(spark, sf_dir):
-    return rules.matches(strategies(spark), features(spark, sf_dir), RULE_FEATURES)
+    return matches_by_index(strategies(spark), features(spark, sf_dir), RULE_FEATURES)
 
 
 CUTS = {"hour": [float(x) for x in range(23)], "weekday": [float(x) for x in range(6)]}

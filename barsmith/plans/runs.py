@@ -1,14 +1,14 @@
 """Runs with state: discovery, mastery and validation, each going on from the tables that earlier runs left.
 
-A run takes its state as tables and returns the next state as tables; nothing is changed in place, so the caller writes them to
-new paths and points to those. All strategies and markets of a run are one job.
+A run takes its state as tables and returns the next state as tables; nothing is changed in place. `saved` writes them to a new
+folder and then switches to it, and `resumed` reads what the last complete run left. All strategies and markets of a run are one job.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.operators import blueprints as bp
@@ -16,7 +16,7 @@ from barsmith.operators import evaluate as ev
 from barsmith.operators import reports, rules
 from barsmith.operators.bars import KEYS
 from barsmith.plans.pipelines import backtest
-from barsmith.sources.state import append_distinct, not_done, upsert_last, written
+from barsmith.sources.state import append_distinct, current, known, not_done, publish, table_there, upsert_last, written
 
 
 @dataclass
@@ -32,9 +32,6 @@ class Market:
     def only(self, condition: str) -> Market:
         return Market(self.features.filter(condition), self.bars.filter(condition), self.costs, self.rule_features, self.look_ahead)
 
-    def without(self, done: DataFrame) -> Market:
-        return Market(not_done(self.features, done, KEYS), not_done(self.bars, done, KEYS), self.costs, self.rule_features, self.look_ahead)
-
 
 @dataclass
 class Discovery:
@@ -52,8 +49,8 @@ def discovery_run(combos: DataFrame, rows: DataFrame, features: list[str], black
     new = written(rules.to_learn(combos, state.done, state.exhausted, least).select("key").distinct(), "new")
     again = rules.to_relearn(combos, blacklist, state.exhausted, least).select("key").distinct()
     tried = written(new.unionByName(again).distinct(), "tried")
-    known = state.strategies.select("key", "market_rule").unionByName(blacklist.select("key", "market_rule")).filter("market_rule IS NOT NULL").distinct()
-    found = written(rules.mined(rows.join(tried, "key", "left_semi"), features, known=known.join(tried, "key", "left_semi"), **grow), "found")
+    old = state.strategies.select("key", "market_rule").unionByName(blacklist.select("key", "market_rule")).filter("market_rule IS NOT NULL").distinct()
+    found = written(rules.mined(rows.join(tried, "key", "left_semi"), features, known=old.join(tried, "key", "left_semi"), **grow), "found")
     return Discovery(
         upsert_last(state.strategies, found, ["key", "market_rule"]), append_distinct(state.exhausted.select("key"), rules.exhausted(tried, found), ["key"]),
         append_distinct(state.done.select("key"), new, ["key"]),
@@ -96,18 +93,39 @@ def mastery_run(
 @dataclass
 class Validation:
     detailed: DataFrame  # a row for each strategy and market
-    done: DataFrame  # instrument, timeframe
+    done: DataFrame  # strategy_id, instrument, timeframe
     summary: DataFrame | None = None  # a row for each strategy, most markets passed first
 
 
 def validation_run(timeframe: int, passed: DataFrame, market: Market, state: Validation | None = None) -> tuple[Validation, DataFrame]:
-    """(next state, trade log): passed strategies tried on all markets of their timeframe, but for markets done."""
+    """(next state, trade log): the passed strategies of a timeframe tried on all its markets, but for the pairs done.
+
+    Strategies of other timeframes are left alone; without a column timeframe all count. A strategy that passes later is tried
+    on markets that others have been tried on before.
+    """
     here = market.only(f"timeframe = {int(timeframe)}")
-    here = here.without(state.done) if state else here
-    about = passed.select(*(c for c in passed.columns if c in (*ev.STRATEGY, "key") and c != "timeframe"))
-    log, found = backtest(about, here.features, here.bars, here.costs, here.rule_features, here.look_ahead)
-    tried, detailed = here.bars.select(*KEYS).distinct(), written(found, "detailed")
+    mine = passed.filter(F.col("timeframe") == int(timeframe)) if "timeframe" in passed.columns else passed.withColumn("timeframe", F.lit(int(timeframe)))
+    mine = mine.select(*(c for c in mine.columns if c in (*ev.STRATEGY, "key")))
+    pairs = mine.select("strategy_id", "timeframe").distinct().join(here.bars.select(*KEYS).distinct(), "timeframe").select("strategy_id", *KEYS)
+    todo = written(not_done(pairs, state.done, ["strategy_id", *KEYS]) if state else pairs, "todo")
+    left = Market(known(here.features, todo, KEYS), known(here.bars, todo, KEYS), here.costs, here.rule_features, here.look_ahead)
+    log, found = backtest(mine, left.features, left.bars, left.costs, left.rule_features, left.look_ahead, only=todo)
+    detailed, tried = written(found, "detailed"), todo
     if state:
-        detailed, tried = upsert_last(state.detailed, detailed, ["strategy_id", *KEYS]), append_distinct(state.done, tried, KEYS)
-    summary = reports.summary(detailed).join(about, "strategy_id", "left")
+        detailed, tried = upsert_last(state.detailed, detailed, ["strategy_id", *KEYS]), append_distinct(state.done, tried, ["strategy_id", *KEYS])
+    summary = reports.summary(detailed).join(passed.select(*(c for c in passed.columns if c in (*ev.STRATEGY, "key"))), "strategy_id", "left")
     return Validation(detailed, tried, reports.ranked(summary)), log
+
+
+def saved(spark: SparkSession, root: str, state: Discovery | Mastery | Validation) -> None:
+    """The state of a run as the current one of its folder: all its tables, or none if the run ends before."""
+    publish(spark, root, {f.name: getattr(state, f.name) for f in fields(state) if getattr(state, f.name) is not None})
+
+
+def resumed(spark: SparkSession, root: str, kind: type) -> Discovery | Mastery | Validation | None:
+    """The state that the last complete run left; None before the first one."""
+    at = current(spark, root)
+    if at is None:
+        return None
+    found = {name: spark.read.parquet(f"{at}/{name}") for name in (f.name for f in fields(kind)) if table_there(spark, f"{at}/{name}")}
+    return kind(**found)

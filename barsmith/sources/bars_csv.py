@@ -43,6 +43,35 @@ def write_partitioned(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").partitionBy("instrument", "timeframe").parquet(path)
 
 
+def write_clustered(frame: DataFrame, path: str, files: int | None = None, block_bytes: int = 128 << 20) -> None:
+    """Bars in files of consecutive ranges of (market, time), sorted within, so that statistics of files and row groups rule most out.
+
+    Ranges go by rows, so a market with most bars has most files. files: how many, else as Spark's shuffle has it. Times are
+    written as integers, since Spark's older form of timestamps has no statistics.
+    """
+    form, spark = "spark.sql.parquet.outputTimestampType", frame.sparkSession
+    before = spark.conf.get(form)
+    order = ["instrument", "timeframe", "time"]
+    ranged = frame.repartitionByRange(files, *order) if files else frame.repartitionByRange(*order)
+    spark.conf.set(form, "TIMESTAMP_MICROS")
+    try:
+        ranged.sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", block_bytes).parquet(path)
+    finally:
+        spark.conf.set(form, before)
+
+
+def read_span(spark: SparkSession, path: str, instrument: str, timeframe: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars of a market from `start` on and before `end`, by filters that Parquet readers test against statistics."""
+    found = spark.read.parquet(path).filter((F.col("instrument") == instrument) & (F.col("timeframe") == timeframe))
+    found = found.filter(F.col("time") >= F.lit(start).cast("timestamp")) if start else found
+    return found.filter(F.col("time") < F.lit(end).cast("timestamp")) if end else found
+
+
+def write_features(frame: DataFrame, path: str) -> None:
+    """Features as CSV with headings, a folder for each market; doubles as floats, missing values empty."""
+    downcast(frame).write.mode("overwrite").partitionBy("instrument", "timeframe").options(header=True, timestampFormat="yyyy-MM-dd HH:mm:ss").csv(path)
+
+
 def downcast(frame: DataFrame) -> DataFrame:
     """Doubles as floats and longs as integers, for a sink; a long that does not fit raises."""
     narrow = {"double": "float", "bigint": "int"}

@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 _local: dict[str, str] = {}
-_made: list[str] = []
+#: What the innermost `scratch` of this thread has had written; None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,7 +32,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one written table."""
     path = f"{checkpoint_root(spark)}/barsmith/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -41,29 +44,86 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes at its end what was written within it, but for the tables written by the function that it gives."""
-    start, kept = len(_made), []
+    """Deletes at its end, an error or not, what was written within it, but for the tables written by the function that it gives.
+
+    Each thread, and each scratch within another, has a list of its own; tables that are kept belong to the outer one.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+    token = _made.set(own)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = written(df, name)
-        kept.append(_made.pop())
+        kept.append(own.pop())
         return out
 
-    yield keep
-    for path in _made[start:]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made[start:] = kept
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in own:
+            _deleted(spark, path)
+        if (outer := _made.get()) is not None:
+            outer += kept
+
+
+# --- tables that change as one ---------------------------------------------------------------------------------------------
+POINTER = "CURRENT"
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
+    """Writes tables to a new folder under root and then, by replacing one small file, makes them the current ones.
+
+    A run that is killed before that leaves the old tables current, and its folder unused; readers see all new tables or none.
+    One writer at a time. Tables may read what is current, as nothing is overwritten.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    _switch(spark, root, version)
+    return version
+
+
+def _switch(spark: SparkSession, root: str, version: str) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs
+    draft, pointer = fs.Path(f"{root}/next-{version}"), fs.Path(f"{root}/{POINTER}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = draft.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    how = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, how)
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The folder of the current tables; None before the first switch."""
+    if not table_there(spark, f"{root}/{POINTER}"):
+        return None
+    return f"{root}/{spark.read.text(f'{root}/{POINTER}').first()[0]}"
+
+
+def current_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """A current table; an empty one of the schema where there is none yet."""
+    at = current(spark, root)
+    return spark.createDataFrame([], schema) if at is None else table_or_empty(spark, f"{at}/{name}", schema)
+
+
+def table_there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at path, or an empty one of the schema where there is none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if table_there(spark, path) else spark.createDataFrame([], schema)
 
 
 def not_done(work: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
