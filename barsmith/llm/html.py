@@ -2,7 +2,8 @@
 
 Method. A tokenizer feeds a tree builder that keeps the stack of open elements, closes elements whose end tags may be left
 out (p, li, dt, dd, tr, td, option ...) and matches end tags to open elements. Entering and leaving elements drives a
-renderer: hidden elements (by name, by an attribute named hidden or by their style) and their children give nothing, of svg
+renderer: hidden elements (by name, by an attribute named hidden or by their style) and their children give nothing, but for
+children set visible in what is only invisible; of svg
 only text elements show, blocks start on new lines, paragraphs and headings stand between
 blank lines, list items get marks (numbers go by start and value) and indents, pre keeps its white space, and table cells are padded
 to columns by display width, spanned ones left empty. Columns are padded to WIDEST at most, and a table that would take more blanks
@@ -40,6 +41,7 @@ CLOSED_BY = {  # start tag: (open elements that it ends, elements that stop the
 }
 CLOSED_BY = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSED_BY.items()}
 SCOPE = frozenset("table td th caption button object".split())
+UNSCOPED = frozenset("table tr tbody thead tfoot body html".split())
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -59,13 +61,14 @@ def parsed(attributes: str) -> dict[str, str]:
     return found
 
 
-def invisible(attributes: str, svg: bool) -> bool:
-    """Whether an attribute named hidden, or the declarations of the style attribute, hide an element.
+def visibility(attributes: str, svg: bool) -> tuple[bool, bool | None]:
+    """Whether an attribute named hidden or a display hides an element with all it holds; whether it is set visible, None if not said.
 
-    A display in the style outweighs the attribute hidden; in svg both properties may be attributes too.
+    A display in the style outweighs the attribute hidden; in svg both properties may be attributes too. Visibility is inherited, so
+    what is invisible may hold visible elements.
     """
     if not HINT.search(attributes):
-        return False
+        return False, None
     found = parsed(attributes)
     said = {k: found.get(k, "").strip().lower() if svg else "" for k in ("display", "visibility")}
     forced: set[str] = set()
@@ -75,7 +78,8 @@ def invisible(attributes: str, svg: bool) -> bool:
         if (name := name.strip()) in said and value and (strong or name not in forced):
             said[name] = value
             forced |= {name} if strong else set()
-    return said["display"] == "none" or said["visibility"] in ("hidden", "collapse") or "hidden" in found and not said["display"]
+    seen = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(said["visibility"])
+    return said["display"] == "none" or "hidden" in found and not said["display"], seen
 
 
 class Table:
@@ -190,8 +194,8 @@ class Page:
 
     def __init__(self, size: int = 0) -> None:
         self.padding = 4 * size + 100_000  # blanks that may still go into tables
-        self.open: list[tuple[str, bool]] = []  # (name, whether it is the element that hides)
-        self.count: dict[str, int] = {}
+        self.open: list[tuple[str, bool, bool, bool]] = []  # (name, whether it hides, whether it is visible, whether it was entered)
+        self.at: dict[str, list[int]] = {}  # places of open elements by name, so that none is looked for by walking the stack
         self.hidden, self.pre = 0, 0
         self.lists: list[int | None] = []  # the number of the last item; None without numbers
         self.buffer = Buffer()
@@ -201,58 +205,55 @@ class Page:
         return "  " * min(DEEPEST, len(self.lists))
 
     def start(self, name: str, attributes: str) -> None:
-        if name in CLOSES_P and self.count.get("p"):
+        if name in CLOSES_P and self.at.get("p"):
             self.end("p")
         if name in CLOSED_BY:
             ends, stops = CLOSED_BY[name]
             self.close_implied(ends, stops)
-        svg = bool(self.count.get("svg"))
-        if svg and name in LEAVES_SVG and not self.count.get("foreignobject"):
+        svg = bool(self.at.get("svg"))
+        if svg and name in LEAVES_SVG and not self.at.get("foreignobject"):
             self.end("svg")
             svg = False
-        hides = name in HIDDEN or svg and name in SVG_HIDDEN or bool(attributes) and invisible(attributes, svg or name == "svg") or name == "input" or name == "dialog" and "open" not in parsed(attributes)
+        hides, seen = visibility(attributes, svg or name == "svg") if attributes else (False, None)
+        hides = hides or name in HIDDEN or svg and name in SVG_HIDDEN or name == "input" or name == "dialog" and "open" not in parsed(attributes)
+        visible = self.visible() if seen is None else seen
         if name in VOID:
-            if not self.hidden and not hides:
+            if not self.hidden and not hides and visible:
                 if name == "br":
                     self.buffer.line_end(self.indent())
                 elif name == "hr":
                     self.buffer.gap(2)
             return
-        if attributes.endswith("/") and (svg and not self.count.get("foreignobject") or self.count.get("math") or name in ("svg", "math")):
+        if attributes.endswith("/") and (svg and not self.at.get("foreignobject") or self.at.get("math") or name in ("svg", "math")):
             return  # only elements of svg and math close themselves
-        self.open.append((name, hides))
-        self.count[name] = self.count.get(name, 0) + 1
         self.hidden += hides
-        if not self.hidden:
+        enters = not self.hidden and visible
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, hides, visible, enters))
+        if enters:
             self.enter(name, attributes)
 
+    def visible(self) -> bool:
+        return not self.open or self.open[-1][2]
+
+    def last(self, names: frozenset) -> int:
+        """The place of the innermost open element with one of the names, -1 if there is none."""
+        return max((places[-1] for x in names if (places := self.at.get(x))), default=-1)
+
     def close_implied(self, ends: frozenset, stops: frozenset) -> None:
-        if not any(self.count.get(x) for x in ends):
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in stops:
-                return
-            if name in ends:
-                self.pop_to(i)
-                if not any(self.count.get(x) for x in ends):
-                    return
+        while (i := self.last(ends)) > self.last(stops):
+            self.pop_to(i)
 
     def end(self, name: str) -> None:
-        if not self.count.get(name):
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == name:
-                self.pop_to(i)
-                return
-            if self.open[i][0] in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        places = self.at.get(name)
+        if places and (name in UNSCOPED or places[-1] >= self.last(SCOPE)):
+            self.pop_to(places[-1])
 
     def pop_to(self, i: int) -> None:
         while len(self.open) > i:
-            name, hides = self.open.pop()
-            self.count[name] -= 1
-            if not self.hidden:
+            name, hides, _, entered = self.open.pop()
+            self.at[name].pop()
+            if entered:
                 self.leave(name)
             self.hidden -= hides
 
@@ -289,7 +290,7 @@ class Page:
                 self.lists.append(None)
         elif name == "mtr":
             b.gap(1)
-        elif name == "mtd" or name == "text" and self.count.get("svg"):
+        elif name == "mtd" or name == "text" and self.at.get("svg"):
             b.blank = True
 
     def spill(self) -> None:
@@ -320,9 +321,9 @@ class Page:
             self.buffer.gap(2 if name in SPACED and not (name in ("ul", "ol") and self.lists) else 1)
 
     def text(self, text: str) -> None:
-        if self.hidden or not text:
+        if self.hidden or not text or not self.visible():
             return
-        if self.count.get("svg") and not (self.count.get("text") or self.count.get("foreignobject")):
+        if self.at.get("svg") and not (self.at.get("text") or self.at.get("foreignobject")):
             return  # svg draws only what stands in its text elements
         if "&" in text:
             text = entities.unescape(text)

@@ -155,7 +155,8 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("own").orderBy("own"))
     one = F.when(F.size("shares") == 1, 1).otherwise(nth)
     rows = rows.withColumn("nth", one).withColumn("take", F.explode(F.element_at("shares", F.col("nth"))["takes"]))
-    spaced = F.regexp_extract_all(row["text"], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))  # words with the white space before them
+    # Words with the white space before them. White space at the end, which no word follows, would be tried from each of its places.
+    spaced = F.regexp_extract_all(F.rtrim(row["text"], F.lit(" \t\n\x0b\x0c\r")), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(spaced, F.col("take.start").cast("int") + 1, F.col("take.words").cast("int")), "")
     cut = F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")
     rows = rows.withColumn("text", F.when(F.col("take.start") < 0, row["text"]).otherwise(cut))

@@ -7,11 +7,12 @@ of the trees with 1 - (1 - s**k)**TREES.
 
 The forest is searched as follows. `shortest` is the prefix at which even a pair at the threshold is met with the target recall
 (1 if none is: at thresholds under about 0.3 recall is below the target); a label that is alone under it leads nowhere and goes.
-Pairs under one prefix, with the length of the longest prefix that they share, pass a sieve on 256 bits of the signatures (which
-lets a pair at the threshold through but for a chance under 1e-9). Matched prefixes then count from the full depth on and are
-shortened, a minimum at a time, until the estimated recall reaches the target: a pair met at length k stands for
-1 / (1 - (1 - s**k)**TREES) pairs, met or not, so the pairs that have been met tell how many have not. Without any pair the
-shortest prefix is taken.
+The labels under one such prefix, sorted, are a trie, and tries are descended from their deepest nodes: first the pairs that share
+all `DEPTH` minima of a label are made, and those that pass a sieve on 256 bits of the signatures (which
+lets a pair at the threshold through but for a chance under 1e-9) are met. Then recall is estimated: a pair met at length k stands for
+1 / (1 - (1 - s**k)**TREES) pairs, met or not, so the pairs that have been met tell how many have not. As long as it is short of the
+target the prefix is shortened by a minimum, and the pairs of nodes of that length that share no more are made and added. Shorter
+pairs are never made once the recall is reached; without any pair the shortest prefix is.
 
 Nodes of over `MOST` labels under the shortest prefix are made by near copies or by passages that many texts share. Their members
 are the crowd, and are paired among themselves exactly by another way: of each member only the rarest runs count, as many as a
@@ -46,7 +47,8 @@ from barsmith.llm.components import components
 
 WIDTH, TREES, DEPTH = 5, 32, 8
 MOST, BLOCK, BLOCK_BYTES, SIEVE = 64, 512, 1 << 24, 0.5
-BITS, BUCKETS = TREES * DEPTH, 1 << 20
+BITS = TREES * DEPTH
+FEWEST, MOST_BUCKETS = 1 << 16, 1 << 22  # counters of runs: eight for each run of the crowd, within these bounds
 
 
 def shingles(text: str) -> np.ndarray:
@@ -89,7 +91,7 @@ def prefix_length(least: float, recall: float) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), size (of its set), labels (one for each tree), sketch (a bit of each minimum)."""
+    """doc_id, key and text_key (of the text), size (of its set), labels (one for each tree), sketch (a bit of each minimum)."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, sizes, labels, sketches = [], [], [], []
@@ -106,70 +108,84 @@ def signatures(docs: DataFrame) -> DataFrame:
             labels.append([sorts[i : i + 2 * DEPTH] for i in range(0, 2 * BITS, 2 * DEPTH)])
             sketches.append(np.packbits((m >> 16 & 1).astype(bool)).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary())), pa.array(sketches, pa.list_(pa.int64()))],
-            ["doc_id", "key", "size", "labels", "sketch"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary())), pa.array(sketches, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "key", "size", "labels", "sketch"],
         )
 
-    return map_texts(doc_texts(docs), of_batch, "doc_id long, key string, size long, labels array<binary>, sketch array<long>")
+    rows = doc_texts(docs).withColumn("text_key", F.xxhash64("text"))
+    return map_texts(rows, of_batch, "doc_id long, text_key long, key string, size long, labels array<binary>, sketch array<long>")
 
 
 def prefix(label: Column, length: int) -> Column:
     return F.substring(label, 1, 2 * length)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ. Minima of similarity s differ in (1 - s) / 2 of them."""
+    return sum(F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64))
+
+
+FAR = int(BITS * (1 - SIEVE) / 2)
+
+
 def forest(texts: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves under the prefixes of length `shortest` (node, id, label, crowd), and the crowd: members (id) of nodes over MOST labels.
+    """Tries (m: sorted array of label, id, sketch, crowd) of the labels under one prefix of length `shortest`, and the crowd.
 
-    Labels that are alone in their node, or in a node over MOST, are no leaves; `crowd` tells leaves of its members.
+    The crowd: members (id) of nodes over MOST labels. Labels that are alone, or in such a node, are in no trie; `crowd` tells
+    labels of its members.
     """
     each = texts.select("id", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", prefix(F.col("label"), shortest)))
     sizes = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = written(each.join(sizes, "node").select("node", "id", "label", "n"), "forest")
     crowd = written(hits.filter(F.col("n") > MOST).select("id").distinct(), "crowd")
-    marks = crowd.select(F.col("id").alias("member"))
-    leaves = hits.filter(F.col("n") <= MOST).join(marks, F.col("id") == F.col("member"), "left").withColumn("crowd", F.col("member").isNotNull())
-    return leaves.select("node", "id", "label", "crowd"), crowd
+    about = texts.select(F.col("id").alias("_id"), "sketch").join(crowd.select(F.col("id").alias("member")), F.col("_id") == F.col("member"), "left")
+    about = about.select("_id", "sketch", F.col("member").isNotNull().alias("crowd"))
+    leaves = hits.filter(F.col("n") <= MOST).join(about, F.col("id") == F.col("_id"))
+    tries = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("label", "id", "sketch", "crowd"))).alias("m")).select("m")
+    return written(tries, "tries"), crowd
 
 
-def apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with apart, the bits in which their sketches differ, those too far apart left out."""
-    bits = texts.select("id", "sketch")
-    both = pairs.join(bits.toDF("a", "a_sketch"), "a").join(bits.toDF("b", "b_sketch"), "b")
-    differ = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(BITS // 64))
-    # Minima of similarity s differ in (1 - s) / 2 of their bits.
-    return both.withColumn("apart", differ).filter(F.col("apart") <= int(BITS * (1 - SIEVE) / 2)).drop("a_sketch", "b_sketch")
+def met(tries: DataFrame, length: int) -> DataFrame:
+    """Pairs a < b, not both of the crowd, whose longest shared prefix in a tree is `length`, and apart, the bits between their sketches."""
 
+    def near(x: Column, y: Column) -> Column:
+        same = prefix(x["label"], length) == prefix(y["label"], length)
+        more = F.lit(False) if length == DEPTH else prefix(x["label"], length + 1) == prefix(y["label"], length + 1)
+        return same & ~more & ~(x["crowd"] & y["crowd"]) & (differing(x["sketch"], y["sketch"]) <= FAR)
 
-def met(leaves: DataFrame, texts: DataFrame, shortest: int) -> DataFrame:
-    """Pairs a < b of leaves, not both of the crowd, that pass the sieve, with shared, the longest prefix that they share in a tree."""
-    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "label", "crowd"))).alias("m"))
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), differing(x["sketch"], y["sketch"]).alias("apart"))
 
-    def shared(x: Column, y: Column) -> Column:
-        found = F.lit(shortest)
-        for k in range(shortest + 1, DEPTH + 1):
-            found = F.when(prefix(x, k) == prefix(y, k), k).otherwise(found)
-        return found
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, MOST), lambda y: near(x, y)), lambda y: pair(x, y))))
+    return tries.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, MOST), lambda y: ~(x["crowd"] & y["crowd"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), shared(x["label"], y["label"]).alias("shared")))))
-    pairs = groups.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    return apart(pairs, texts)
 
-
-def settled(pairs: DataFrame, least: float, recall: float, shortest: int) -> int:
-    """The longest prefix, from DEPTH down, at which the estimated recall reaches the target; else the shortest."""
+def enough(pairs: DataFrame, least: float, recall: float, length: int) -> bool:
+    """Whether the pairs met at prefixes of `length` and more are, as far as they tell, all but 1 - recall of the pairs there are."""
     # Similarity as the sketch tells it, less a standard error, within the threshold and 1.
     near = F.greatest(F.lit(least), 1 - F.col("apart") * (2 / BITS) - 0.04)
-    sums = []
-    for k in range(shortest, DEPTH + 1):
-        miss = F.pow(1 - F.pow(near, F.lit(k)), F.lit(TREES))
-        here = F.col("shared") >= k
-        sums += [F.count(F.when(here, 1)).alias(f"met_{k}"), F.sum(F.when(here, miss / (1 - miss))).alias(f"missed_{k}")]
-    got = pairs.filter(1 - F.col("apart") * (2 / BITS) >= least).agg(*sums).first()
-    for k in range(DEPTH, shortest, -1):
-        found, missed = got[f"met_{k}"], got[f"missed_{k}"]
-        if found and missed <= (1 - recall) * (found + missed):
-            return k
-    return shortest
+    miss = F.pow(1 - F.pow(near, F.lit(length)), F.lit(TREES))
+    found, missed = pairs.filter(1 - F.col("apart") * (2 / BITS) >= least).agg(F.count(F.lit(1)), F.sum(miss / (1 - miss))).first()
+    return bool(found) and missed <= (1 - recall) * (found + missed)
+
+
+def descended(tries: DataFrame, least: float, recall: float, shortest: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b, apart) of the tries down to the length at which recall is reached, and that length."""
+    found = None
+    for length in range(DEPTH, shortest - 1, -1):
+        new = met(tries, length)
+        new = written(new if found is None else new.join(found, ["a", "b"], "left_anti"), "met")
+        found = new if found is None else found.unionByName(new)
+        if length == shortest or enough(found, least, recall, length):
+            return found, length
+    raise ValueError("shortest lies between 1 and DEPTH")
+
+
+def apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b), those whose sketches are too far apart left out."""
+    bits = texts.select("id", "sketch")
+    both = pairs.join(bits.toDF("a", "a_sketch"), "a").join(bits.toDF("b", "b_sketch"), "b")
+    return both.filter(differing(F.col("a_sketch"), F.col("b_sketch")) <= FAR).select("a", "b")
 
 
 def sets_of(docs: DataFrame, members: DataFrame, schema: str, extra: list[str]) -> DataFrame:
@@ -191,22 +207,28 @@ def crowded(docs: DataFrame, members: DataFrame, texts: DataFrame, least: float)
     """Edges (a, b) that join all members (id, doc, key) of crowds with similarity >= least.
 
     A partner shares at least ceil(least * size) runs of a member, so it shares one of any size - ceil(least * size) + 1 of them;
-    taken are the rarest. Any order of the runs that is the same for all will do, so rarity goes by counts in BUCKETS buckets: a
-    table of fixed size, which every task gets. A run that is alone in its bucket is nobody else's and brings no partner. Members
-    of one rare run are paired and sieved; where it has more than MOST members, they hang on the smallest.
+    taken are the rarest. Any order of the runs that is the same for all will do, so rarity goes by counts in buckets: a table of
+    eight for each run of the crowd, 4 million (4 MB, a byte each) at most, which every task gets. A crowd of more runs is ordered less
+    finely, which brings more candidates and loses none. A run that is alone in its bucket is nobody else's and brings no
+    partner. Members of one rare run are paired and sieved; where it has more than MOST members, they hang on the smallest.
     """
     # A doc_id may hold its text more than once.
     sets = written(sets_of(docs, members, "", []).dropDuplicates(["id"]), "sets")
-    held = sets.select(F.explode("set").alias("run")).groupBy(F.col("run").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int32)
-    counts[held.column("bucket").to_numpy()] = np.minimum(held.column("n").to_numpy(), 2**31 - 1)
+    runs = sets.agg(F.sum(F.size("set"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(FEWEST, 1 << (8 * runs).bit_length()))
+    held = sets.select(F.explode("set").alias("run")).groupBy(F.col("run").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # By sixteenths of a power of two from 16 on: a byte tells apart what differs by some percent.
+    level = F.when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) - 16))
+    held = held.select("bucket", level.cast("short").alias("level")).toArrow()
+    counts = np.zeros(buckets, np.uint8)
+    counts[held.column("bucket").to_numpy()] = held.column("level").to_numpy()
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, runs = [], []
             for i, one in zip(batch.column("id").to_pylist(), batch.column("set"), strict=True):
                 own = one.values.to_numpy()
-                n = counts[own & (BUCKETS - 1)]
+                n = counts[own & (buckets - 1)]
                 first = np.lexsort((own, n))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
                 first = first[n[first] > 1]
                 ids.append(np.full(len(first), i, np.int64))
@@ -219,15 +241,14 @@ def crowded(docs: DataFrame, members: DataFrame, texts: DataFrame, least: float)
     small = rare.join(groups.filter(F.col("n") <= MOST), "run").groupBy("run").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, MOST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
-    return apart(pairs, texts).select("a", "b").union(stars)
+    return apart(pairs, texts).union(stars)
 
 
 def candidates(docs: DataFrame, texts: DataFrame, least: float, recall: float) -> DataFrame:
     """Edges (a, b) between texts (id, doc, key, labels, sketch) whose components hold all links."""
     shortest = prefix_length(least, recall)
-    leaves, crowd = forest(texts, shortest)
-    pairs = written(met(leaves, texts, shortest), "met")
-    edges = pairs.filter(F.col("shared") >= settled(pairs, least, recall, shortest)).select("a", "b")
+    tries, crowd = forest(texts, shortest)
+    edges = descended(tries, least, recall, shortest)[0].select("a", "b")
     if crowd.isEmpty():
         return edges
     return edges.union(crowded(docs, crowd.join(texts.select("id", "doc", "key"), "id"), texts, least))
@@ -285,20 +306,19 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
 
 def different(known: DataFrame) -> DataFrame:
-    """A row for each different text: key, doc (the smallest doc_id), n_copies, size, labels, sketch, and id.
+    """A row for each different text: key, text_key, doc (the smallest doc_id), n_copies, size, labels, sketch, and id.
 
     The id is doc, or a hash of the key where another text has the same doc.
     """
-    texts = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("size", "labels", "sketch")))
+    texts = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("text_key", "size", "labels", "sketch")))
     texts = written(texts, "texts")
     twins = texts.groupBy("doc").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("twin"), "first")
     named = texts.join(written(twins, "twins"), F.col("doc") == F.col("twin"), "left")
     return named.withColumn("id", F.when(F.col("first") < F.col("key"), F.xxhash64("key")).otherwise(F.col("doc"))).drop("twin", "first")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for each row of docs."""
-    rows = written(signatures(docs), "signatures")
+def classed(rows: DataFrame, docs: DataFrame, least: float, recall: float) -> DataFrame:
+    """Of each different text of rows (signatures of docs): key, text_key, id, doc, n_copies, links, and root, the id that names its class."""
     texts = different(rows.filter("doc_id IS NOT NULL"))
     loose = components(candidates(docs, texts.filter("labels IS NOT NULL"), least, recall), "loose")
     members = loose.select("id", F.col("root").alias("component")).union(loose.select("root", "root").distinct())
@@ -306,11 +326,30 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, recall: float = 0.99999
     found = written(verified(docs, written(members, "members"), least), "links")
     tight = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "tight")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = texts.select("key", "id", "doc", "n_copies").join(links, "id", "left").join(tight, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = written(classes, "classes")
+    classes = texts.select("key", "text_key", "id", "doc", "n_copies").join(links, "id", "left").join(tight, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return written(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, recall: float = 0.99999) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies for each row of docs."""
+    rows = written(signatures(docs), "signatures")
+    classes = classed(rows, docs, least, recall)
     # The id of a root may be a hash: a class is named by its smallest doc_id.
     names = classes.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("named"), "class_id")
     classes = classes.join(names, F.col("root") == F.col("named"), "left")
     classes = classes.select(F.col("key").alias("_key"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, recall: float = 0.99999) -> DataFrame:
+    """docs with one row of each class: of its rows with the smallest doc_id one with the least key. Rows without doc_id all stay."""
+    rows = written(signatures(docs), "signatures")
+    classes = classed(rows, docs, least, recall)
+    chosen = classes.groupBy("root").agg(F.min(F.struct("doc", "key", "text_key")).alias("c")).select(F.col("c.doc").alias("_doc"), F.col("c.text_key").alias("_text_key"))
+    # Columns of docs go in one, so that helper columns cannot clash with theirs.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    known = docs.filter("doc_id IS NOT NULL").select(whole)
+    known = known.select("_row", F.col("_row")["doc_id"].cast("long").alias("_d"), F.xxhash64(F.col("_row")["text"].cast("string")).alias("_t"))
+    stay = known.join(chosen, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text_key")), "left_semi").dropDuplicates(["_d", "_t"])
+    return stay.select("_row.*").unionByName(docs.filter("doc_id IS NULL"))

@@ -4,7 +4,7 @@ Method. The base patterns find e-mail and IP addresses, card and phone numbers.
 shape of a word (letters, digit runs by length, marks), those of its neighbours, and a few cue words; it is trained on the
 small labelled table below. Every line of a text is a sequence, and all its words are decoded by Viterbi in padded numpy
 batches of lines of like length. What the field labels is added where it overlaps no base span and passes the check of its
-kind (digits, Luhn, parts at most 255); besides the four base kinds it adds secrets such as passwords and access tokens.
+kind (digits, Luhn, parts at most 255; 200 characters at most, as the patterns of kinds have no end of their own); besides the four base kinds it adds secrets such as passwords and access tokens.
 
 Memory. Texts come in batches by bytes. A line of any length is decoded in one go: it costs an integer and a back pointer of
 one byte a label for each word, and its scores are made for some thousand words at a time.
@@ -17,6 +17,7 @@ give repeated results; an empty table gives an empty result. Extra columns are n
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -126,6 +127,24 @@ The house. And Its owner. To Her it Was Then. Is That so? When. Of Course, He sa
 niño está así. Año. Él también, quién sabrá. Ñandú según más
 - one | two | three | four. | Five, |
 sea at last, at noon at all. At home at the end at one
+find me at example.com or ask around
+he is at home.page or at work.site now
+look at this.that and the rest
+more at www.site.net about it
+see it at shop.example.org today
+at noon.Then we left at one.
+pages 300-400 500 of the book
+pages 12-45 and 120-133 1998
+from 1990-1995 2000 copies were sold
+figures 100-200 300-400 in part two
+id 123e4567-e89b-12d3-a456-426614174000 of the row
+request 550e8400-e29b-41d4-a716-446655440000 failed
+https://example.com/a1b2c3d4e5f6 was moved
+see http://site.org/x9y8z7/w6v5u4t3.html for it
+read //cdn.site.io/lib/v2.3.1/app-77.js first
+model XJ900-42B-77 is in stock
+the part AB12-CD34-EF56 fits
+unit ZX81/16K/2B of 1982
 what*** and### much%%% noise&&& in$$$ here!! THE!! END!!
 """
 CUES = frozenset(
@@ -410,7 +429,12 @@ def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def added(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Spans that the labels of the words of a text add to its base spans."""
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []  # what is covered, as disjoint stretches in order
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     for first in np.flatnonzero(labels % 2 == 1):  # B of any kind
         kind, last = KINDS[labels[first] // 2], first + 1
         while last < len(labels) and labels[last] == labels[first] + 1:
@@ -421,8 +445,9 @@ def added(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, ends:
             start, end = found.span() if found else (end, end)
         while end > start and text[end - 1] in ".,;:!?\"'":
             end -= 1
-        if end > start and plausible(kind, text[start:end]) and all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        at = bisect_left(taken, [end])  # the stretch before it is the only one that may reach in
+        if end > start and plausible(kind, text[start:end]) and (at == 0 or taken[at - 1][1] <= start):
+            taken.insert(at, [start, end])
             yield KINDS.index(kind), start, end
 
 

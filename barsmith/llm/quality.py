@@ -123,14 +123,15 @@ def measures(docs: DataFrame) -> DataFrame:
         cols = np.array(counts, np.int64).reshape(-1, 5).T
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column("lang"), *(pa.array(c) for c in cols), pa.array(chars, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())),
+                batch.column("doc_id"), batch.column("lang"), batch.column("text_key"), *(pa.array(c) for c in cols), pa.array(chars, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())),
                 pa.array([int(c.sum()) for c in chars], pa.int64()), pa.array([sum(h) for h in common], pa.int64()),
             ],
-            ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "char_hist_sum", "word_hist_sum"],
+            ["doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "char_hist_sum", "word_hist_sum"],
         )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = map_texts(narrow, of_batch, f"doc_id long, lang string, {BASE}, char_hist array<long>, word_hist array<long>, char_hist_sum long, word_hist_sum long", lambda: tables.append(_class_table()))
+    narrow = narrow.withColumn("text_key", F.xxhash64("text"))
+    found = map_texts(narrow, of_batch, f"doc_id long, lang string, text_key long, {BASE}, char_hist array<long>, word_hist array<long>, char_hist_sum long, word_hist_sum long", lambda: tables.append(_class_table()))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
@@ -171,10 +172,15 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
-def quality(
+def quality(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, base counts, base_failed, char_distance, word_distance, kept. One row for each row of docs. limits: see `judged`."""
+    return judged(docs, **limits).drop("lang", "text_key")
+
+
+def judged(
     docs: DataFrame, char_limit: float = 0.22, word_limit: float = 0.2, word_slack: float = 1.25, min_chars: int = 200, min_words: int = 50, min_reference: int = 5000, given: DataFrame | None = None,
 ) -> DataFrame:
-    """doc_id, base counts, base_failed, char_distance, word_distance, kept. One row for each row of docs. given: references.
+    """The result of `quality` with what a verdict is about: lang and text_key, the hash of the text. given: references.
 
     Few words spread a histogram by chance, so the limit of word_distance is word_limit + word_slack / sqrt(n_words).
     """
@@ -189,5 +195,23 @@ def quality(
     joined = joined.withColumn("both", both).withColumns({"char_distance": F.array_min("both.c"), "word_distance": F.array_min("both.w")})
     odd = ((F.col("char_hist_sum") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= F.lit(min_words)) & (F.col("word_distance") > F.lit(word_limit) + F.lit(word_slack) / F.sqrt("n_words")))
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
-    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
+    out = joined.select("doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
     return written(out, "verdicts")  # a filter on them would else go into the join, and the distances with it
+
+
+def accepted(docs: DataFrame, spread: int = 64, **limits) -> DataFrame:
+    """The rows of docs that are kept, each by the verdict on its own doc_id, language and text.
+
+    Rejected texts are few columns wide and leave by an anti join; those without doc_id, which may be very many of one text, are
+    dealt to `spread` tasks by the partition that they come from.
+    """
+    told = judged(docs, **limits).filter("NOT kept").select("doc_id", "lang", "text_key").distinct()
+    salt = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    told = told.select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_text_key"), F.explode(salt).alias("_salt"))
+    # Columns of docs go in one, so that helper columns cannot clash with theirs.
+    row = F.col("_row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    mine = F.when(row["doc_id"].isNull(), F.pmod(F.spark_partition_id(), F.lit(spread))).otherwise(0)
+    rows = rows.select("_row", row["doc_id"].cast("long").alias("_d"), row["lang"].cast("string").alias("_l"), F.xxhash64(row["text"].cast("string")).alias("_t"), mine.alias("_s"))
+    same = rows["_d"].eqNullSafe(told["_doc_id"]) & rows["_l"].eqNullSafe(told["_lang"]) & (rows["_t"] == told["_text_key"]) & (rows["_s"] == told["_salt"])
+    return rows.join(told, same, "left_anti").select("_row.*")

@@ -1,6 +1,7 @@
 """Personal data, pieces, toxicity, fingerprints and the join against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -298,10 +299,18 @@ def test_forest_adapts_to_what_it_meets(docs_of):
         texts_ = ngramjoin.different(ngramjoin.signatures(docs_of(rows)))
         for recall in (0.9, 0.99999):
             shortest = ngramjoin.prefix_length(0.8, recall)
-            leaves, crowd = ngramjoin.forest(texts_, shortest)
-            met = ngramjoin.met(leaves, texts_, shortest)
-            lengths[name, recall] = ngramjoin.settled(met, 0.8, recall, shortest)
+            tries, crowd = ngramjoin.forest(texts_, shortest)
+            pairs, lengths[name, recall] = ngramjoin.descended(tries, 0.8, recall, shortest)
             assert crowd.count() == 0
+            # Down to that length all pairs that share so much are there once, and no others.
+            shared = {}
+            for r in tries.collect():
+                for x, y in itertools.combinations(r.m, 2):
+                    same = next((k for k in range(ngramjoin.DEPTH) if x.label[2 * k : 2 * k + 2] != y.label[2 * k : 2 * k + 2]), ngramjoin.DEPTH)
+                    gap = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x.sketch, y.sketch, strict=True))
+                    if gap <= ngramjoin.FAR:
+                        shared[min(x.id, y.id), max(x.id, y.id)] = max(same, shared.get((min(x.id, y.id), max(x.id, y.id)), 0))
+            assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(p for p, k in shared.items() if k >= lengths[name, recall])
     assert lengths["close", 0.99999] > lengths["far", 0.99999] >= ngramjoin.prefix_length(0.8, 0.99999) == lengths["none", 0.99999]
     rows = [(i, x, "en", "a") for i, x in enumerate(far)]
     for recall in (0.9, 0.99999):
@@ -365,9 +374,6 @@ def test_gains_of_windows():
 
 def test_short_and_many_toxic_words():
     """Toxic words of three letters count in windows, and there is no bound on the stems that have evidence."""
-    import itertools
-    import random
-
     rng = random.Random(4)
     plain = ["".join(rng.choices("etaoinshr", k=6)) for _ in range(300)]
     bad = ["".join(x) for x in itertools.product("kqxz", "uvwy", "bgjkp")][:75]
