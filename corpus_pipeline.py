@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 each stage's rows to the shared folder and goes on from there, so a lost executor costs one stage's tasks. What else a stage
 wrote there is deleted once its rows are written.
 
-Cases. Rows without doc_id pass the first two stages by their own merit: a rejected one goes, none is a copy of another.
+Cases. Rows are told apart by doc_id and text, so rows that share one of the two, or have no doc_id, stand or fall by themselves: a rejected
+row goes alone, and of each group of near duplicates one row stays. Rows without doc_id are nobody's copies.
 Extra columns come through all stages but the last.
 """
 
@@ -16,27 +17,23 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import scratch, table
 from barsmith.llm.mixing import mixed
-from barsmith.llm.ngramjoin import near_duplicates
+from barsmith.llm.ngramjoin import one_of_each
 from barsmith.llm.pieces import encoded
 from barsmith.llm.pii import redacted
-from barsmith.llm.quality import quality
+from barsmith.llm.quality import accepted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; of rows of one doc_id all go if any is rejected."""
-    rejected = quality(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected"]), "left_anti")
+    """Documents that the quality rules keep, each row by the verdict on its own text."""
+    return accepted(docs)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, once.
+    """One document of each group of near duplicates: of the rows with the smallest doc_id the one with the least text hash, once.
 
-    Of rows of one doc_id those stay that are no copies of one another; without doc_id each row stays.
+    Rows of one doc_id with different texts are different documents, in the same or in different groups. Rows without doc_id stay.
     """
-    found = near_duplicates(docs)
-    copies = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("copy")).distinct()
-    stay = docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")
-    return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(stay.filter("doc_id IS NULL"))
+    return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
