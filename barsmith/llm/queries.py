@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import table, work_dir
+from barsmith.llm.oracle import merkle_sql, repair_sql
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +116,8 @@ c AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1),
 k AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY 1)
 SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
 FROM documents d LEFT JOIN t ON d.doc_id IS NOT NULL AND t.text = coalesce(d.text, '') LEFT JOIN c ON c.id = t.id LEFT JOIN k ON k.id = t.id""",
+    "op11_conversation_repair": repair_sql(),
+    "op13_merkle_manifest": merkle_sql(),
     "op12_exact_dedup": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY 1),
 r AS (SELECT t.*, keep_id, n, row_number() OVER (PARTITION BY t.text, doc_id) AS copy FROM t JOIN g ON g.text = t.text)

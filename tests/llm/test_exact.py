@@ -127,6 +127,28 @@ def test_manifest_cases(docs_of, odd_rows):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, merkle.manifest(docs).collect())) and got.filter("NOT verified").count() == 0
 
 
+def test_sql_of_trees_and_conversations(odd_rows):
+    """The SQL that goes with the queries, on odd rows, against the same plain versions."""
+    import random
+
+    import duckdb
+    import test_repair as plain
+
+    from barsmith.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    rows = [(*r, len(r[1]) if r[1] else 0) for r in sources() + odd_rows]
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [r for r in rows if "\x00" not in (r[1] or "")])
+    assert Counter(c.sql(ORACLE_SQL["op13_merkle_manifest"]).fetchall()) == plain_manifest([r for r in rows if "\x00" not in (r[1] or "")])
+    rng = random.Random(8)
+    talk = [(k, *r) for k in range(60) for r in plain.made(rng, rng.randint(1, 9))] + [(None, 1, "user", "A."), (None, None, "assistant", "B."), (900, None, "user", None)]
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talk)
+    got = {r[0]: r[1:] for r in c.sql(ORACLE_SQL["op11_conversation_repair"]).fetchall()}
+    assert got == {k: plain.brute(list(plain.hurt(r for r in talk if r[0] == k))) for k in {r[0] for r in talk}}
+
+
 def test_few_levels_are_stored(docs_of):
     """Stored are the leaves and every second level: 1,200 leaves, then 5 tops of 256, then one."""
     leaves = merkle.numbered(merkle.leaves_of(docs_of(sources()).filter("source = 'hot'")), [F.asc("tree"), F.asc("doc_id"), F.asc("node")], "leaves")
