@@ -2,7 +2,7 @@
 
 Method. A spot signature is a chain: one or more anchors and the two content words that follow them, anchors in between left
 out. Anchors are common words, the start of the text and the ends of clauses and lines, so every text with a word has a chain,
-in any language and however short. The fingerprint of a text is the set of the 64-bit hashes of its chains. Likeness is the
+in any language and however short; the last word or mark of a text counts as content. The fingerprint of a text is the set of the 64-bit hashes of its chains. Likeness is the
 Jaccard index of two sets. `similar` finds all pairs of fingerprints that are
 alike enough: fingerprints are dealt by signature and class of set length, only sets whose lengths allow the threshold
 meet, only on signatures of their prefix in order of rarity, and the index is exact.
@@ -52,7 +52,8 @@ def signatures(text: Column) -> Column:
     chunks = F.regexp_extract_all(F.concat(F.lit(". "), F.trim(plain)), F.lit(CHUNK), F.lit(0))  # anchors and one content word
 
     def chains(m: Column) -> Column:
-        following = F.slice(F.transform(m, lambda c: F.substring_index(c, " ", -1)), 2, 2**31 - 1)
+        # As long as there are chunks: a length near the greatest integer overflows and gives nothing.
+        following = F.slice(F.transform(m, lambda c: F.substring_index(c, " ", -1)), F.lit(2), F.size(m))
         return F.array_compact(F.zip_with(m, following, lambda c, n: F.when(F.contains(c, F.lit(" ")), F.xxhash64(c, F.coalesce(n, F.lit(""))))))
 
     # As a bound variable the chunks are made once, not for each place that they stand in.

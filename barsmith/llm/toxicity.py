@@ -143,7 +143,7 @@ def trained(samples: list[bytes], size: int, segment: int = 12) -> bytes:
 
 
 def fit(rows: list[tuple[str, int]], least: float = 5.0) -> Model:
-    """Dictionaries from two of three rows, calibration on the third."""
+    """Dictionaries from every second row, calibration on the others."""
     learn, calibrate = rows[::2], rows[1::2]
     learn = fresh(learn)
     starts = tuple(evidence_stems(learn, least))
@@ -179,7 +179,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, chars: int) -> list[tu
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out())
     for label in (0, 1):
         ids = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        found = doc_texts(docs).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(most)
+        found = doc_texts(docs).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+        found = found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(most)  # a doc_id may have several rows
         rows += [(keyed(r.doc_id), r.text, r.toxic) for r in found.collect()]
     return [(text, toxic) for _, text, toxic in sorted(rows)]
 

@@ -83,7 +83,9 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 100, chunk_
     """Write a record for each row of pages (page_id, url, html) into archives under path; date is that of the records (now)."""
     date = date or f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}"
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha2("html", 256)).withColumn("key", F.concat_ws(":", "digest", F.col("page_id").cast("string")))
+    # Rows without page_id, maybe many of one payload, are told apart by url.
+    page = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("-"), F.xxhash64("url").cast("string")))
+    p = p.withColumn("digest", F.sha2("html", 256)).withColumn("key", F.concat_ws(":", "digest", page))
     heads = written(p.select("page_id", "digest", "key", F.octet_length("html").alias("bytes")), "heads")
     total = heads.agg(F.sum("bytes")).first()[0] or 0
     archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / archive_bytes))
@@ -114,8 +116,8 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 100, chunk_
 class Reader:
     """State machine from lines (without line feed) to rows of the chunk table."""
 
-    def __init__(self, with_payload: bool) -> None:
-        self.with_payload = with_payload
+    def __init__(self, with_payload: bool, chunk_bytes: int = 1 << 20) -> None:
+        self.with_payload, self.chunk_bytes, self.size = with_payload, chunk_bytes, 0
         self.rows: list[tuple] = []
         self.part: list[bytes] = []
         self.state, self.head, self.left = "between", {}, 0
@@ -144,41 +146,54 @@ class Reader:
         if kind == "continuation":
             origin = h.get("warc-segment-origin-id", "")
             self.record = self.open.get(origin)
-            if self.record is None or segment != self.record["chunk"] + 1:
+            if self.record is None or segment != self.record["segments"] + 1:
                 raise ValueError(f"segment {segment} of record {origin} is out of place")
+            self.record["segments"] = segment
             self.state = "body"
             self._enter()
             return
         page, to = h.get("x-page-id", ""), h.get("x-refers-to-page", "")
-        self.record = {"id": h["warc-record-id"], "page": int(page) if page else None, "kind": kind, "to": int(to) if to else None, "chunk": 0, "bytes": 0, "sha": hashlib.sha256(), "digest": h.get("warc-payload-digest", "").removeprefix("sha256:"), "length": int(h.get("x-payload-length", 0))}
+        self.record = {"id": h["warc-record-id"], "page": int(page) if page else None, "kind": kind, "to": int(to) if to else None, "segments": 1, "chunk": 0, "bytes": 0, "sha": hashlib.sha256(), "digest": h.get("warc-payload-digest", "").removeprefix("sha256:"), "length": int(h.get("x-payload-length", 0))}
         if "warc-segment-number" in h:
             self.open[self.record["id"]] = self.record
         self.state = "http"
 
     def _enter(self) -> None:
-        self.state, self.part = "body", []
+        self.state, self.part, self.size = "body", [], 0
         if self.left == 0:
             self._end()
 
     def _body(self, data: bytes) -> None:
-        data = data[: self.left]
-        self.left -= len(data)
-        self.record["sha"].update(data)
-        self.record["bytes"] += len(data)
-        if self.with_payload:
-            self.part.append(data)
+        """A line of a payload: a chunk is given out whenever it is full, wherever the record's writer cut."""
+        data = memoryview(data)[: self.left]
+        while len(data):
+            piece = data[: self.chunk_bytes - self.size]
+            data = data[len(piece) :]
+            self.left -= len(piece)
+            self.size += len(piece)
+            self.record["sha"].update(piece)
+            self.record["bytes"] += len(piece)
+            if self.with_payload:
+                self.part.append(bytes(piece))
+            if self.size == self.chunk_bytes and self.left:
+                self._chunk(False)
         if self.left == 0:
             self._end()
 
-    def _end(self) -> None:
+    def _chunk(self, last: bool) -> None:
         r = self.record
         r["chunk"] += 1
-        payload = b"".join(self.part) if self.with_payload else None
+        payload, digest = b"".join(self.part) if self.with_payload else None, r["sha"].hexdigest()
+        self.rows.append((r["id"], r["page"], r["kind"], None, r["chunk"], payload, r["bytes"], digest, last, not last or digest == r["digest"]))
+        self.part, self.size = [], 0
+
+    def _end(self) -> None:
+        r = self.record
         if r["kind"] == "revisit":
-            self.rows.append((r["id"], r["page"], "revisit", r["to"], 1, payload, r["length"], r["digest"], True, True))
+            self.rows.append((r["id"], r["page"], "revisit", r["to"], 1, b"".join(self.part) if self.with_payload else None, r["length"], r["digest"], True, True))
         else:
-            digest, last = r["sha"].hexdigest(), r["bytes"] == r["length"]
-            self.rows.append((r["id"], r["page"], r["kind"], None, r["chunk"], payload, r["bytes"], digest, last, not last or digest == r["digest"]))
+            last = r["bytes"] == r["length"]
+            self._chunk(last)
             if last:
                 self.open.pop(r["id"], None)
             elif r["id"] not in self.open:
@@ -191,12 +206,15 @@ class Reader:
             raise ValueError(f"archive ends within record {self.record['id'] if self.state != 'between' and self.record else next(iter(self.open), '')}")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The chunk table of all archives under path."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """The chunk table of all archives under path: chunks of at most chunk_bytes, also of records that are in one segment.
+
+    Lines are the units that Spark reads, so a line of a payload is held whole for a moment; records and their lines are not gathered.
+    """
     schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_()), ("intact", pa.bool_())])
 
     def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(with_payload)
+        reader = Reader(with_payload, chunk_bytes)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 reader.line(text)
