@@ -139,6 +139,89 @@ def rule_tree_levels(spark, sf_dir):
     return rounded(splits.select("key", "node", "feature", "bin", "gain"))
 
 
+def deep_sql(depth: int, least: int) -> dict[str, str]:
+    """Levels of trees over hour and weekday: rows with their node, cells, gains and best splits of each."""
+    out = {"d1": "SELECT *, 1 AS node FROM tr"}
+    for k in range(1, depth + 1):
+        here = f"(SELECT * FROM d{k} WHERE node >= {2 ** (k - 1)})"
+        out[f"c{k}"] = f"SELECT key, node, feature, bin, count(*) AS n, sum(y) AS s FROM (SELECT key, node, 'hour' AS feature, hour AS bin, y FROM {here} UNION ALL SELECT key, node, 'weekday', weekday, y FROM {here}) GROUP BY ALL"
+        out[f"u{k}"] = TREE["cum"].replace("PARTITION BY key, feature", "PARTITION BY key, node, feature").replace("FROM cell", f"FROM c{k}")
+        out[f"g{k}"] = TREE["gains"].replace("SELECT key,", "SELECT key, node,").replace("FROM cum", f"FROM u{k}").replace("50", str(least))
+        out[f"s{k}"] = f"SELECT * FROM g{k} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY key, node ORDER BY round(gain, 9) DESC, feature, bin) = 1"
+        out[f"d{k + 1}"] = f"""SELECT d.* EXCLUDE node, CASE WHEN s.key IS NULL THEN d.node ELSE 2 * d.node + (CASE WHEN s.feature = 'hour' THEN d.hour ELSE d.weekday END > s.bin)::INT END AS node
+ FROM d{k} d LEFT JOIN s{k} s ON s.key = d.key AND s.node = d.node"""
+    return out
+
+
+DEPTH, LEAF = 7, 20
+
+
+@query(sql(f"SELECT key, node, count(*) AS n_candles, round(avg(y), 6) + 0.0 AS avg_density FROM d{DEPTH + 1} GROUP BY key, node", "won", tr=TREE["tr"], **deep_sql(DEPTH, LEAF)))
+def rule_tree_leaves(spark, sf_dir):
+    """Leaves of trees of depth 7, each with its rows and their mean."""
+    leaves, _ = rules.grow(q.tree_rows(spark, sf_dir), q.CUTS, DEPTH, LEAF)
+    return rounded(leaves.select("key", "node", "n_candles", "avg_density"))
+
+
+# --- what discovery leaves out, text definitions, and costs of named markets ---------------------------------------------------
+FOUND = "SELECT key FROM lt WHERE s1 / n1 >= 1.02 * s0 / n0 OR (s0 - s1) / (n0 - n1) >= 1.02 * s0 / n0"
+
+
+@query(sql(f"""SELECT key, key NOT IN (SELECT key FROM ({FOUND})) AS exhausted, key LIKE 'view-%' AS done_before FROM (SELECT key FROM tr WHERE key <> 'view-buy' GROUP BY key HAVING count(*) >= 100)""", "won",
+           **{**TREE, "gains": TREE["gains"].replace("AS gain", "AS gain, n1, s1, n0, s0")}, best=BEST, lt=LEARNT))
+def exhausted_keys(spark, sf_dir):
+    """Blueprints that were tried, and which of them gave no rule."""
+    rows = q.written(q.tree_rows(spark, sf_dir), "rows")
+    combos = rows.groupBy("key").agg(F.count(F.lit(1)).alias("num_candles"))
+    none = rows.select("key", F.lit("").alias("market_rule"), F.lit(0).cast("long").alias("n_candles"), F.lit(0.0).alias("avg_density")).limit(0)
+    before = rows.select("key").filter("key LIKE 'view-%'").distinct()
+    feedback = rows.select("key", F.lit(None).cast("string").alias("market_rule")).filter("key = 'view-sell'").distinct()
+    got = runs.discovery_run(combos, rows, list(q.CUTS), feedback, runs.Discovery(none, none.select("key"), before), depth=1, lift=1.02, cuts=q.CUTS)
+    spent = got.exhausted.select("key", F.lit(True).alias("exhausted"))
+    tried = combos.filter("num_candles >= 100 AND key <> 'view-buy'").select("key")
+    return tried.join(spent, "key", "left").select("key", F.coalesce("exhausted", F.lit(False)).alias("exhausted"), F.col("key").like("view-%").alias("done_before"))
+
+
+KNOWN = {"view-buy": ("`hour` > 11.0 and `weekday` <= 3.0", "hour > 11 AND weekday <= 3"), "click-sell": ("`hour` <= 5.0", "hour <= 5"), "error-buy": ("`weekday` > 4.0 and `hour` > 20.0", "weekday > 4 AND hour > 20")}
+
+
+@query(sql("SELECT key, entry_time, CASE WHEN " + " OR ".join(f"(key = '{k}' AND {x})" for k, (_, x) in KNOWN.items()) + " THEN 0 ELSE y END AS trade_count FROM tr", "won", **TREE))
+def excluded_targets(spark, sf_dir):
+    """Targets with the bars set to 0 that known rules of their key match."""
+    rows = q.written(q.tree_rows(spark, sf_dir), "rows")
+    known = spark.createDataFrame([(k, r) for k, (r, _) in KNOWN.items()], "key string, market_rule string")
+    bars = q.written(b.indexed(rows.select(*b.KEYS, F.col("entry_time").alias("time"), *q.CUTS).distinct()), "bars")
+    hits = known.join(bm.matches_by_index(known, bars, list(q.CUTS)), "market_rule").withColumnRenamed("time", "entry_time")
+    return rules.without_known(rows, hits).select("key", "entry_time", F.col("trade_count").cast("long").alias("trade_count"))
+
+
+@query(sql("SELECT strategy_id, instrument, idx, round(sl_price, 6) + 0.0 AS sl_price, round(tp_price, 6) + 0.0 AS tp_price FROM ok", "feat", **{k: TRADES[k] for k in ("st", "sg", "od", "ok")}))
+def orders_from_text(spark, sf_dir):
+    """Orders of strategies whose stops and targets are text: a number is a ratio, other text a level."""
+    some = q.strategies(spark)
+    text = {f"{s}_def": F.coalesce(f"{s}_level", F.concat(F.lit(" "), F.col(f"{s}_ratio").cast("string"))) for s in ("sl", "tp")}
+    typed = bp.with_definitions(some.withColumns(text).drop("sl_level", "sl_ratio", "tp_level", "tp_ratio"))
+    placed = ev.orders(ev.signals(typed, q.features(spark, sf_dir), q.RULE_FEATURES), b.cost_table(spark))
+    return rounded(placed.select("strategy_id", "instrument", "idx", "sl_price", "tp_price"))
+
+
+# Event types as markets: some with costs of their own, with and without digits, one quoted in yen, one unknown.
+NAMED = {"view": "EURUSD60", "click": "XAUUSD15", "error": "gbpusd", "purchase": "USDJPY", "signup": "NZDJPY240"}
+COST_COLUMNS = ("spread_pips", "commission_per_lot", "pip_value", "slippage_pips")
+COST_SQL = "SELECT * FROM (VALUES " + ", ".join(str(x) for x in b.COSTS) + ") v(market, " + ", ".join(COST_COLUMNS) + ")"
+NAMES_SQL = "CASE instrument " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items()) + " END"
+SPREAD_SQL = "coalesce(CASE upper(name) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in b.SPREADS.items()) + f" END, {b.SPREADS['DEFAULT']}) * CASE WHEN upper(name) LIKE '%JPY%' OR upper(name) LIKE '%XAU%' THEN 0.01 ELSE 0.0001 END"
+
+
+@query(sql(f"""SELECT name AS instrument, time, {", ".join(f"coalesce(o.{c}, d.{c})::DOUBLE AS {c}" for c in COST_COLUMNS)}, round(({SPREAD_SQL})::DOUBLE, 6) + 0.0 AS spread_cost
+ FROM (SELECT {NAMES_SQL} AS name, time FROM bars) x LEFT JOIN cs o ON o.market <> 'DEFAULT' AND o.market = regexp_replace(name, '[0-9]+$', '') JOIN cs d ON d.market = 'DEFAULT'""", "bars", cs=COST_SQL))
+def market_costs(spark, sf_dir):
+    """Costs of trades, and the spread of labels, on bars of named markets."""
+    name = F.create_map(*(F.lit(x) for kv in NAMED.items() for x in kv))
+    bars = q.bars(spark, sf_dir).select(F.element_at(name, F.col("instrument")).alias("instrument"), "time")
+    return rounded(b.with_costs(bars, b.cost_table(spark)).withColumn("spread_cost", b.spread_cost(F.col("instrument"))).select("instrument", "time", *COST_COLUMNS, "spread_cost"))
+
+
 # --- the whole preset grid -----------------------------------------------------------------------------------------------
 (SL_A, SL_Z, SL_STEP), (TP_A, TP_Z, TP_STEP), PRESET_LOOK = b.PRESETS[q.MINUTES]
 PRESET = {

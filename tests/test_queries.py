@@ -9,7 +9,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SOME = ["ohlc_bars", "bar_index", "barrier_wins", "ema", "adx", "support_resistance", "candle_patterns", "positioning", "scaled_features", "combinations", "rule_stump", "equity_curve", "performance", "regime_rows", "upsert_latest", "timeframe_signals", "rule_tree_levels", "brand_bars", "brand_averages", "user_series"]
+SOME = ["ohlc_bars", "bar_index", "barrier_wins", "ema", "adx", "support_resistance", "candle_patterns", "positioning", "scaled_features", "combinations", "rule_stump", "equity_curve", "performance", "regime_rows", "upsert_latest", "timeframe_signals", "rule_tree_levels", "brand_bars", "brand_averages", "user_series", "rule_matches", "rule_index_cut_bins", "combinations_in_runs", "rule_tree_leaves", "exhausted_keys", "excluded_targets", "orders_from_text", "market_costs", "trade_metrics"]
 
 
 def plain(v):
