@@ -141,3 +141,74 @@ def test_foreign_archive_through_spark(spark, tmp_path):
     rows = warc.read_archives(spark, f"file://{tmp_path}", chunk_bytes=1000).orderBy("page_id", "chunk").collect()
     assert [r.chunk for r in rows] == [*range(1, 11), 1] and b"".join(r.payload for r in rows[:10]).decode() == payloads[0]
     assert {r.page_id: r.chunks for r in warc.page_records(warc.read_archives(spark, f"file://{tmp_path}", False, 1000)).collect()} == {0: 10, 1: 1}
+
+
+def plain_class(c):
+    """Character class of a code point, by its properties."""
+    for name, holds in (("lower", c.islower()), ("upper", c.isupper()), ("other letter", c.isalpha()), ("digit", c.isdigit()), ("line end", c == "\n"), ("blank", c.isspace()), ("stop", c in ".!?…"),
+                        ("pause", c in ",;:'\"()-–’«»¿¡"), ("symbol", c in "#*$%&|<>{}[]=+~^_\\/@`")):
+        if holds:
+            return name
+    return "rest"
+
+
+def plain_histograms(text):
+    from collections import Counter
+
+    from barsmith.llm.quality import WORDS
+
+    words = regex.findall(r"[^\x20\x09-\x0D]+", text)
+    known = Counter()
+    for w in words:
+        w = w[1:] if w[0] in "(\"'" else w
+        w = w[:-1] if w and w[-1] in ".,;:!?)\"'" else w
+        w = (w if w.isascii() else w.strip("«»“”„¿¡…")).lower()
+        known[w if w in WORDS else None] += 1
+    return Counter(map(plain_class, text)), known, words
+
+
+def shannon(p, q):
+    """Jensen-Shannon distance of two counters, base 2, by the definition."""
+    a, b, out = sum(p.values()), sum(q.values()), 0.0
+    for k in {*p, *q}:
+        x, y = p[k] / a, q[k] / b
+        m = (x + y) / 2
+        out += (x * np.log2(x / m) if x else 0) / 2 + (y * np.log2(y / m) if y else 0) / 2
+    return max(0.0, out) ** 0.5
+
+
+def test_distances_to_references(docs_of):
+    """Both distances of every document, thick and thin references, from loops over characters and words."""
+    from collections import Counter
+
+    from barsmith.llm.quality import quality
+
+    rng = random.Random(4)
+    common = {"en": "the of and to in", "de": "der die und den von", "es": "de la que el en"}
+
+    def prose(lang, n):
+        return " ".join(rng.choice(common[lang].split()) if rng.random() < 0.4 else "".join(rng.choices("abcdeÄéß1.,(#", k=5)) for _ in range(n)) + rng.choice([".", "!\n", ""])
+
+    rows = [(i, prose(lang, rng.randint(5, 90)), lang if i % 9 else None, "a") for i, lang in enumerate(rng.choices(["en", "de", "es"], [6, 5, 1], k=90))] + [(200, "#$% " * 60, "en", "a"), (201, "", "de", "a"), (202, None, None, "a")]
+    found = {r.doc_id: r for r in quality(docs_of(rows), min_reference=600).collect()}
+    refs, size, hists = {}, Counter(), {}
+    for d, text, lang, _ in rows:
+        chars, known, words = hists[d] = plain_histograms(text or "")
+        if not found[d].base_failed:
+            c, w = refs.setdefault(lang, (Counter(), Counter()))
+            c.update(chars)
+            w.update(known)
+            size[lang] += len(words)
+    thick = [x for x in refs if x is not None and size[x] >= 600]
+    assert len(thick) == 2 and len(refs) == 4
+    for d, text, lang, _ in rows:
+        chars, known, words = hists[d]
+        if not words:
+            continue
+        tried = [lang] if lang in thick else [lang, *thick]
+        c, w = (min(shannon(h, refs[x][i]) for x in tried if x in refs) for i, h in enumerate((chars, known)))
+        r = found[d]
+        assert (r.char_distance, r.word_distance) == pytest.approx((c, w), abs=1e-9), d
+        odd = (sum(chars.values()) >= 200 and c > 0.22) or (len(words) >= 50 and w > 0.2 + 1.25 / len(words) ** 0.5)
+        assert r.kept == (not r.base_failed and not odd)
+    assert not found[200].kept
