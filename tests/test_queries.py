@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
-    assert got or name in ("rule_stump", "rule_tree_levels")  # leaves of 50 bars ask for more than the smallest tables have
+    assert got or name in ("rule_stump", "rule_tree_levels", "exhausted_keys")  # 50 bars a leaf, or 100 a key, are more than the smallest tables have
 
 
 def test_entry_runs(spark):
