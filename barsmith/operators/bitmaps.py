@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from barsmith.operators.bars import KEYS
 from barsmith.operators.rules import conditions, within
-from barsmith.sources.state import written
+from barsmith.sources.state import known, written
 
 BITS = 32_768  # as many as Spark's bitmap functions have
 MOST_EDGES, SALTS = 64, 16
@@ -99,8 +99,8 @@ def halves(cond: DataFrame, edges: dict[str, list[float]], rule: str) -> DataFra
     return cond.select(rule, "feature", F.inline(F.array_compact(both)))
 
 
-def _numbers(batches: Iterator[pa.RecordBatch], rule: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each bit of `outer`; sure: the bit is in `inner` too."""
+def _numbers(batches: Iterator[pa.RecordBatch], about: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each bit of `outer`, with the columns `about` of its bitmap; sure: the bit is in `inner` too."""
     for batch in batches:
         outer, inner, first = batch.column("outer"), batch.column("inner"), batch.column("bucket").to_numpy()
         for i in range(batch.num_rows):  # a bitmap at a time: at most BITS rows
@@ -110,14 +110,15 @@ def _numbers(batches: Iterator[pa.RecordBatch], rule: str, names: list[str]) ->
                 kept = inner[i].as_py()
                 sure = np.unpackbits(np.frombuffer(kept, np.uint8), bitorder="little")[on].astype(bool) if kept else ~sure
             same = pa.array(np.full(len(on), i, np.int64))
-            columns = [batch.column(c).take(same) for c in (rule, *KEYS)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(on + first[i] * BITS), pa.array(sure)], names)
+            columns = [batch.column(c).take(same) for c in about]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(on + first[i] * BITS), pa.array(sure)], [*about, "idx", "sure"])
 
 
-def matches_by_index(rules: DataFrame, frame: DataFrame, features: list[str], rule: str = "market_rule", most: int = MOST_EDGES, timed: bool = True) -> DataFrame:
+def matches_by_index(rules: DataFrame, frame: DataFrame, features: list[str], rule: str = "market_rule", most: int = MOST_EDGES, timed: bool = True, of: DataFrame | None = None) -> DataFrame:
     """(market_rule, KEYS, time, idx) of the bars that meet a rule, as `rules.matches`; idx must number the bars of a market.
 
-    timed: with the column time, which costs a join by bar.
+    timed: with the column time, which costs a join by bar. of: a table of rules, whose rows are given with the bars of their rule (on
+    the markets of their timeframe where it has that column). They meet bitmaps, not bars.
     """
     cond = written(conditions(rules, features, rule), "conditions")
     edges = edges_of(cond, most)
@@ -134,23 +135,32 @@ def matches_by_index(rules: DataFrame, frame: DataFrame, features: list[str], ru
     met = outer.unionByName(inner).join(bounds, ["feature", "side", "at", "salt"]).groupBy(rule, *KEYS, "bucket", "out").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
     met = met.join(exact.withColumnRenamed(rule, "_rule"), F.col(rule) == F.col("_rule")).filter((F.col("n") == F.col("n_half")) & (F.bitmap_count("bits") > 0))
     pair = met.groupBy(rule, *KEYS, "bucket", "exact").agg(F.first(F.when(F.col("out"), F.col("bits")), True).alias("outer"), F.first(F.when(~F.col("out"), F.col("bits")), True).alias("inner"))
-    names = [rule, *KEYS, "idx", "sure"]
-    types = ", ".join(f"{c} {t}" for c, t in pair.select(rule, *KEYS).dtypes)
-    found = pair.select(rule, *KEYS, "bucket", "exact", "outer", "inner").mapInArrow(lambda it: _numbers(it, rule, names), f"{types}, idx long, sure boolean")
-    bars = frame.select(*KEYS, "idx", "time") if timed else None
+    about = [rule, *KEYS]
+    if of is not None:
+        pair = pair.join(of, [rule, *(k for k in KEYS if k in of.columns)])
+        about += [c for c in of.columns if c not in about]
+    types = ", ".join(f"`{c}` {t}" for c, t in pair.select(*about).dtypes)
+    # A few kB become thousands of rows, so bitmaps are dealt by number: by their size they would all fit in one task.
+    dealt = pair.select(*about, "bucket", "exact", "outer", "inner").repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = dealt.mapInArrow(lambda it: _numbers(it, about), f"{types}, idx long, sure boolean")
+    # The bars found are taken to be as small as their bitmaps; without the hint they would be broadcast.
+    bars = frame.select(*KEYS, "idx", "time").hint("merge") if timed else None
+
+    def finished(out: DataFrame) -> DataFrame:
+        out = out.select(*about, "idx")
+        return out.join(bars, [*KEYS, "idx"]).select(*about, "time", "idx") if timed else out
+
     if exact.filter("NOT exact").isEmpty():
-        out = found.select(rule, *KEYS, "idx")
-        return out.join(bars, [*KEYS, "idx"]).select(rule, *KEYS, "time", "idx") if timed else out
+        return finished(found)
 
     # Bars in cut bins: their conditions one by one.
     found = written(found, "found")
     values = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*(F.col(f).cast("double") for f in features)))
-    doubt = found.filter("NOT sure").join(frame.select(*KEYS, "idx", values.alias("_values")), [*KEYS, "idx"])
+    doubt = found.filter("NOT sure").select(rule, *KEYS, "idx").distinct().join(frame.select(*KEYS, "idx", values.alias("_values")), [*KEYS, "idx"])
     tested = doubt.join(cond.select(F.col(rule).alias("_rule"), "feature", "lo", "hi"), F.col(rule) == F.col("_rule"))
     v = F.element_at("_values", F.col("feature"))
-    tested = tested.groupBy(rule, *KEYS, "idx").agg(F.min(F.coalesce(within(v), F.lit(False))).alias("_all")).filter("_all").drop("_all")
-    out = found.filter("sure").drop("sure").unionByName(tested)
-    return out.join(bars, [*KEYS, "idx"]).select(rule, *KEYS, "time", "idx") if timed else out
+    tested = tested.groupBy(rule, *KEYS, "idx").agg(F.min(F.coalesce(within(v), F.lit(False))).alias("_all")).filter("_all")
+    return finished(found.filter("sure").unionByName(known(found.filter("NOT sure"), tested, [rule, *KEYS, "idx"])))
 
 
 # --- bars of blueprints ------------------------------------------------------------------------------------------------------

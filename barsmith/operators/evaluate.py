@@ -11,6 +11,7 @@ from barsmith.operators.barriers import exits
 from barsmith.operators.bitmaps import matches_by_index
 
 STRATEGY = ["strategy_id", "timeframe", "market_rule", "trade_type", "type", "sl_level", "sl_ratio", "sl_bin", "tp_level", "tp_ratio", "tp_bin"]
+TRADE = ["strategy_id", *KEYS, "idx", "order_id", "entry_time", "exit_time", "entry_price", "r"]  # what equity, metrics and logs read
 
 
 def with_ids(strategies: DataFrame) -> DataFrame:
@@ -29,12 +30,12 @@ def signals(strategies: DataFrame, features: DataFrame, rule_features: list[str]
 
     A strategy with a timeframe is tried on the markets of that timeframe alone.
     """
-    hit = matches_by_index(strategies, features, rule_features, timed=False)
+    hit = matches_by_index(strategies, features, rule_features, timed=False, of=strategies.select(*(c for c in STRATEGY if c in strategies.columns)))
     levels = [c for c in LEVELS if c in features.columns]
     by_name = F.create_map(*(x for c in levels for x in (F.lit(c), F.col(c).cast("double")))) if levels else F.create_map().cast("map<string,double>")
     regimes = [c for c in ("session", "trend_regime_14", "vol_regime_14") if c in features.columns]
     bars = features.select(*KEYS, "idx", "time", "n_bars", "close", by_name.alias("levels"), *regimes)
-    return strategies.select(*(c for c in STRATEGY if c in strategies.columns)).join(hit, ["market_rule", "timeframe"] if "timeframe" in strategies.columns else "market_rule").join(bars, [*KEYS, "idx"])
+    return hit.join(bars.hint("merge"), [*KEYS, "idx"])  # hits look as small as their bitmaps, but are not to be broadcast
 
 
 def orders(found: DataFrame, costs: DataFrame) -> DataFrame:

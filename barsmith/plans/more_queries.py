@@ -31,7 +31,8 @@ def timeframe_signals(spark, sf_dir):
 
 
 def market(spark, sf_dir) -> runs.Market:
-    return runs.Market(q.features(spark, sf_dir), q.indexed(spark, sf_dir), b.cost_table(spark), q.RULE_FEATURES)
+    numbered = q.written(q.indexed(spark, sf_dir), "numbered")
+    return runs.Market(q.features(spark, sf_dir, numbered), numbered, b.cost_table(spark), q.RULE_FEATURES)
 
 
 def mastery_of(spark, sf_dir) -> runs.Mastery:

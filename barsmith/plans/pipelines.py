@@ -67,11 +67,16 @@ def prepared(feats: DataFrame, before: DataFrame | None = None) -> tuple[DataFra
 
 
 def backtest(strategies: DataFrame, feats: DataFrame, indexed: DataFrame, costs: DataFrame, rule_features: list[str], look_ahead: int = 5000, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(trade log, report with regime maps) of all strategies on all markets given; only: pairs (strategy_id, KEYS) to try."""
+    """(trade log, report with regime maps) of all strategies on all markets given; only: pairs (strategy_id, KEYS) to try.
+
+    Signals, trades and equity are written, as each of the next steps reads its input several times.
+    """
     found = ev.signals(strategies, feats, rule_features)
     if only is not None:
         found = found.join(only, ["strategy_id", *b.KEYS], "left_semi")
-    done = ev.equity(ev.trades(ev.orders(found, costs), indexed, look_ahead))
+    found = written(found, "signals")
+    closed = written(ev.trades(ev.orders(found, costs), indexed, look_ahead).select(*ev.TRADE), "trades")
+    done = written(ev.equity(closed), "equity")
     report = ev.performance(done).join(ev.regime_maps(found), ["strategy_id", *b.KEYS], "left")
     return ev.trade_log(done), report
 

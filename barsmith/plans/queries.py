@@ -53,12 +53,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.indexed(b.one_per_time(bars(spark, sf_dir)))
+    """Numbered bars. Numbering reads bars twice, so they are written before and ticks are read once."""
+    return b.indexed(written(b.one_per_time(bars(spark, sf_dir)), "bars"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     """The features that positioning, rules and reports use, written once as each of them reads them several times."""
-    f = ind.framed(indexed(spark, sf_dir))
+    f = ind.framed(indexed(spark, sf_dir) if numbered is None else numbered)
     for step in (lambda x: ind.sma(x, (20,)), lambda x: ind.ema(x, (13,)), ind.bollinger, ind.rsi, ind.atr, ind.adx, ind.regimes, ind.pivots):
         f = step(f)
     return written(ind.calendar(ind.support_resistance(ind.done(f))), "features")
@@ -495,15 +496,16 @@ def rule_tree(spark, sf_dir):
 
 # --- trades ----------------------------------------------------------------------------------------------------------------
 def signals_of(spark, sf_dir):
-    return ev.signals(strategies(spark), features(spark, sf_dir), RULE_FEATURES)
+    """Written, as orders and the mix of regimes read them several times."""
+    return written(ev.signals(strategies(spark), features(spark, sf_dir), RULE_FEATURES), "signals")
 
 
 def trades_of(spark, sf_dir):
-    return ev.trades(ev.orders(signals_of(spark, sf_dir), b.cost_table(spark)), indexed(spark, sf_dir))
+    return written(ev.trades(ev.orders(signals_of(spark, sf_dir), b.cost_table(spark)), indexed(spark, sf_dir)), "trades")
 
 
 def equity_of(spark, sf_dir):
-    return ev.equity(trades_of(spark, sf_dir))
+    return written(ev.equity(trades_of(spark, sf_dir)), "equity")
 
 
 def _price(side: str, way: str) -> str:

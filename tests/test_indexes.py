@@ -62,6 +62,20 @@ def test_index_equals_filters(spark, most):
     assert bm.matches_by_index(given, frame.limit(0), FEATURES).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_strategies_meet_bitmaps(spark, most):
+    """Strategies that share a rule each have its bars, those of a timeframe on its markets; bitmaps are unpacked in several tasks."""
+    frame, values = frame_of(spark, 60, 3, tuple("ABCDEF"))
+    both = frame.unionByName(frame.withColumn("timeframe", F.lit(15)))
+    rows = [("s1", "`f0` > 11.5", 60), ("s2", "`f0` > 11.5", 60), ("s3", "`f0` > 11.5", 15), ("s4", "`f0` <= 30.0 and `f1` > 4.5", 15)]
+    of = spark.createDataFrame(rows, "strategy_id string, market_rule string, timeframe int")
+    found = bm.matches_by_index(of, both, FEATURES, most=most, timed=False, of=of)
+    want = sorted((s, t, m, i) for s, rule, t in rows for (m, i), row in values.items() if meets(rule, row))
+    assert sorted((r.strategy_id, r.timeframe, r.instrument, r.idx) for r in found.collect()) == want and want
+    if most > 1:
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_ten_thousand_rules(spark):
     """A mined set: bounds are cuts of features, so no bar is looked up, and bars join rules by bound, not by feature."""
     rng = random.Random(5)

@@ -101,6 +101,18 @@ def test_validation_keeps_to_timeframes_and_pairs(spark, tmp_path):
     assert runs.resumed(spark, f"file://{tmp_path}/none", runs.Validation) is None
 
 
+def test_backtest_finds_signals_once(spark):
+    """The log and the report are read from written trades; no bitmap is unpacked anew for them."""
+    from barsmith.plans import pipelines
+
+    market = market_of(spark, minutes=(60,))
+    log, report = pipelines.backtest(strategies_of(spark, [("s60", "`rsi` > 60.0", 60)]), market.features, market.bars, market.costs, market.rule_features, market.look_ahead)
+    for df in (log, report):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "LogicalRDD" not in plan
+    assert log.count() == report.agg(F.sum("total_trades")).first()[0] > 0
+
+
 def test_scaler_grows_with_markets(spark):
     rng = random.Random(3)
     rows = [(m, 60, rng.gauss(mean, 3.0) if rng.random() > 0.1 else None, 7.0) for m, mean in (("A", 0), ("B", 1e6), ("C", -5)) for _ in range(200)]
